@@ -24,20 +24,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u != v").distinct()
 
 
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every node has one link down or is a centre: then each centre is its component's least node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).filter("down > 1 or (down > 0 and up > 0)").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges: (a, b) in any order. Returns (node, root), root the least node; no row for nodes without edges."""
     now = scratch.keep(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges"
     )
-    mark = None
-    while True:
+    while not _stars_only(now):
         after = scratch.keep(_star(_star(now, True), False), "stars")
-        found = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(now)
         now = after
-        if tuple(found) == mark:
-            break
-        mark = tuple(found)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

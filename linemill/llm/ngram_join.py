@@ -133,7 +133,7 @@ def _prefix_pass(k: int, percent: int, bits: int, sketch, hot: int):
         counts = sketch.value
         for b in batches:
             seen: set[int] = set()
-            out: list[tuple[np.ndarray, int, int]] = []
+            out: list[tuple] = []
             size = 0
             for _, s in S.shingle_sets(b.column(0), k):
                 n = len(s)
@@ -144,7 +144,7 @@ def _prefix_pass(k: int, percent: int, bits: int, sketch, hot: int):
                 keys = often << np.uint64(40) | s >> np.uint64(24)
                 p = n - -(-percent * n // 100) + 1
                 order = np.argsort(keys, kind="stable")[:p]
-                out.append((s[order], node, n, often[order]))
+                out.append((s[order], node, n, often[order], int(keys[order[-1]] >> np.uint64(33))))
                 size += p
                 if size > 200_000:
                     yield _postings(out, hot)
@@ -167,8 +167,9 @@ def _postings(rows: list, hot: int) -> pa.RecordBatch:
             pa.array(node),
             pa.array(np.repeat(np.array([r[2] for r in rows], np.int32), lens)),
             pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in lens])),
+            pa.array(np.repeat(np.array([r[4] for r in rows], np.int32), lens)),
         ],
-        ["shingle", "salt", "node", "n", "pos"],
+        ["shingle", "salt", "node", "n", "pos", "end"],
     )
 
 
@@ -197,11 +198,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near[0] = False
         take = keep[near]
         if len(take):
-            yield b.take(pa.array(take)).select(["shingle", "node", "n", "pos"])
-
-
-def _fits(percent: int) -> Column:
-    return F.expr(f"100L * least(n, pn) >= {percent}L * greatest(n, pn)")
+            yield b.take(pa.array(take)).select(["shingle", "node", "n", "pos", "end"])
 
 
 def _needed(percent: int) -> str:
@@ -209,6 +206,20 @@ def _needed(percent: int) -> str:
     return f"(({percent}L * (n + pn) + {99 + percent}L) div {100 + percent}L)"
 
 
+def _prefix(percent: int, n: str) -> str:
+    return f"({n} - ({percent}L * {n} + 99L) div 100L + 1)"
+
+
+def _most(percent: int, common: str) -> str:
+    """Greatest intersection, if ``common`` shingles at most are in both prefixes.
+
+    What the prefix that ends earlier has and the other lacks is nowhere in the
+    other set. ``end`` is a coarse place: equal ends leave either possible.
+    """
+    x, y = (f"{n} - {_prefix(percent, n)}" for n in ("n", "pn"))
+    return f"({common} + case when end < pend then {x} when pend < end then {y} else greatest({x}, {y}) end)"
+
+
 def _verify(percent: int):
     @F.arrow_udf("boolean")
     def check(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -235,21 +246,33 @@ class _Join:
         )
 
     def postings(self) -> DataFrame:
+        """shingle, node, n, pos, end, and held: how many of the node's prefix shingles others hold."""
         sketch = self.spark.sparkContext.broadcast(_sketch(self.one, self.bits))
         rows = self.docs.select("text").mapInArrow(
-            _prefix_pass(self.k, self.percent, self.bits, sketch, self.hot), "shingle long, salt int, node long, n int, pos int"
+            _prefix_pass(self.k, self.percent, self.bits, sketch, self.hot), "shingle long, salt int, node long, n int, pos int, end int"
         )
         rows = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "node")
-        return self.scratch.keep(rows.mapInArrow(_shared, "shingle long, node long, n int, pos int"), "postings")
+        rows = self.scratch.keep(rows.mapInArrow(_shared, "shingle long, node long, n int, pos int, end int"), "postings")
+        held = rows.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("held"))
+        both = self.scratch.keep(rows.join(held, "node"), "postings")
+        self.scratch.drop(rows)
+        return both
+
+    def _pairs(self, rows: DataFrame, other: DataFrame) -> DataFrame:
+        """Rows of one shingle in two components that pass the filters which a single shared shingle allows."""
+        other = other.select("shingle", *(F.col(x).alias(f"p{x}") for x in ("node", "n", "pos", "end", "held", "comp")))
+        length = f"100L * least(n, pn) >= {self.percent}L * greatest(n, pn)"
+        place = f"1 + least(pos, ppos) + least(n - 1 - pos, pn - 1 - ppos) >= {_needed(self.percent)}"
+        prefix = f"{_most(self.percent, 'least(held, pheld)')} >= {_needed(self.percent)}"
+        return rows.join(other, "shingle").filter(f"{length} and {place} and {prefix}")
 
     def _candidates(self, pairs: DataFrame) -> DataFrame:
-        """pairs: (node, n, pos, pnode, pn, ppos) of one shared prefix shingle. One row a pair that the filters pass."""
-        bound = F.expr(f"c + least(n - 1 - last, pn - 1 - plast) >= {_needed(self.percent)}")
+        """One row a pair that the filters pass."""
+        need = _needed(self.percent)
         each = (
-            pairs.filter(_fits(self.percent))
-            .groupBy("node", "n", "pnode", "pn")
+            pairs.groupBy("node", "n", "end", "pnode", "pn", "pend")
             .agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("last"), F.max("ppos").alias("plast"))
-            .filter(bound)
+            .filter(f"c + least(n - 1 - last, pn - 1 - plast) >= {need} and {_most(self.percent, 'c')} >= {need}")
         )
         sig = self.classes.select("node", "n", "sig", "rep")
         psig = sig.toDF("pnode", "pn", "psig", "prep")
@@ -257,7 +280,7 @@ class _Join:
         return (
             each.join(sig, ["node", "n"])
             .join(psig, ["pnode", "pn"])
-            .filter(apart <= F.expr(f"n + pn - 2 * {_needed(self.percent)}"))
+            .filter(apart <= F.expr(f"n + pn - 2 * {need}"))
             .select("node", "n", "rep", "pnode", "pn", "prep")
         )
 
@@ -284,8 +307,9 @@ class _Join:
 
         own = self.docs.select(F.expr(f"pmod(xxhash64(doc_id), {1 << bits})").alias("slot"), "text", "doc_id")
         # Of a class, the document that stands for it is read; where ids repeat, a row of them.
-        found = own.select("slot", "text").mapInArrow(sets, "node long, n int, members binary").join(wanted.select("node", "n"), ["node", "n"], "left_semi").dropDuplicates(["node", "n"])
-        found = self.scratch.keep(found, "members")
+        # Dealt once by (node, n): both joins below read that exchange.
+        found = own.select("slot", "text").mapInArrow(sets, "node long, n int, members binary").repartition("node", "n")
+        found = found.join(wanted.select("node", "n").hint("shuffle_hash"), ["node", "n"], "left_semi").groupBy("node", "n").agg(F.max("members").alias("members"))
         links = (
             pairs.join(found, ["node", "n"])
             .join(found.toDF("pnode", "pn", "pmembers"), ["pnode", "pn"])
@@ -293,40 +317,37 @@ class _Join:
             .select(F.col("node").alias("a"), F.col("pnode").alias("b"))
         )
         links = self.scratch.keep(links, "links")
-        self.scratch.drop(pairs, found)
+        self.scratch.drop(pairs)
         return links
 
     def run(self, stars: int) -> DataFrame:
         posts = self.postings()
         links, roots, now = None, None, posts.withColumn("comp", F.col("node"))
-        done = False
         for turn in range(stars + 1):
-            # Rows of shingles that still lie in two components.
-            spread = now.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c"))
-            spread = spread.groupBy("shingle").agg(F.sum("c").alias("s"), F.sum(F.expr("cast(c as double) * c")).alias("q"), F.count(F.lit(1)).alias("k"))
-            spread = self.scratch.keep(spread.filter("k > 1"), "spread")
-            total = spread.agg(F.sum(F.expr("(cast(s as double) * s - q) / 2")), F.sum("s")).first()
-            if not total[1]:
+            # Shingles that still lie in two components.
+            spread = now.select("shingle", "comp").distinct()
+            spread = self.scratch.keep(spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "spread")
+            if spread.isEmpty():
                 break
             open_rows = now.join(spread.select("shingle"), "shingle", "left_semi")
-            done = turn == stars or (turn > 0 and total[0] <= 8 * total[1])
-            if done:
-                other = open_rows.select("shingle", *(F.col(x).alias(f"p{x}") for x in ("node", "n", "pos", "comp")))
-                pairs = open_rows.join(other, "shingle").filter("comp < pcomp")
+            last = turn == stars
+            if last:
+                pairs = self._pairs(open_rows, open_rows).filter("comp < pcomp")
             else:
-                pick = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "comp")).alias("p")
-                pivot = open_rows.groupBy("shingle").agg(pick).select("shingle", *(F.col(f"p.{x}").alias(f"p{x}") for x in ("node", "n", "pos", "comp")))
-                pairs = open_rows.join(pivot, "shingle").filter("comp != pcomp")
+                # The pivot is the class of which others hold most: of edited copies the one least edited.
+                order = F.struct(F.expr(f"-held / {_prefix(self.percent, 'n')}").alias("o"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "end", "held", "comp")
+                pivot = open_rows.groupBy("shingle").agg(F.min(order).alias("p")).select("shingle", "p.*")
+                pairs = self._pairs(open_rows, pivot).filter("comp != pcomp")
             # Least node first, so that each pair is met in one direction.
-            turned = "node > pnode"
-            pairs = pairs.select(*(F.expr(f"if({turned}, p{x}, {x})").alias(x) for x in ("node", "n", "pos")), *(F.expr(f"if({turned}, {x}, p{x})").alias(f"p{x}") for x in ("node", "n", "pos")))
+            names = ("node", "n", "pos", "end")
+            pairs = pairs.select(*(F.expr(f"if(node > pnode, p{x}, {x})").alias(x) for x in names), *(F.expr(f"if(node > pnode, {x}, p{x})").alias(f"p{x}") for x in names))
             found = self.verified(pairs)
             links = found if links is None else links.unionByName(found)
-            roots = self.scratch.keep(components(links, self.scratch), "roots")
+            roots = components(links, self.scratch)
             self.scratch.drop(spread)
-            if done:
+            if last:
                 break
-            now = posts.join(roots, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("root", "node").alias("comp"))
+            now = posts.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         # Nodes to the smallest id of their component.
         if roots is None:
             least = self.classes.select("node", "n", F.col("rep").alias("component_id"))
@@ -339,7 +360,7 @@ class _Join:
 
 
 def ngram_components(
-    docs: DataFrame, *, k: int = 5, percent: int = 80, sketch_bits: int = 20, hot: int = 1 << 16, stars: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, k: int = 5, percent: int = 80, sketch_bits: int = 20, hot: int = 1 << 16, stars: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, class_key (equal for equal sets).
 
