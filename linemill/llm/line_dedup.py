@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linemill.llm.bloom import BloomFilter
 from linemill.llm.scratch import Scratch
 
 _NEWLINE = "\n"
@@ -136,8 +137,14 @@ def line_dedup(docs: DataFrame, *, min_words: int = 20, id_col: str = "doc_id",
     scratch = Scratch(docs.sparkSession, "line_dedup")
     keyed = _keyed(docs, id_col, text_col)
     gone = removals(keyed.select("k", "th", "text"), scratch, min_words)
+    # Texts that lose nothing needn't move: a filter of bounded size tells most of them apart.
+    own = F.xxhash64("k", "th")
+    bloom = BloomFilter(gone.select(own.alias("key")), "key")
+    may = bloom.may_contain(own, bloom.bits())
     left = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(gone, i)), '\\n')")
-    return keyed.join(gone, ["k", "th"], "left").select(
+    cut = keyed.filter(may).join(gone.hint("merge"), ["k", "th"], "left")
+    every = keyed.filter(~may).withColumn("gone", F.lit(None).cast("array<int>")).unionByName(cut)
+    return every.select(
         "row",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
         F.expr("size(split(text, '\\n', -1))").alias("n_lines"),
