@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -23,12 +23,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linemill.llm.batches import bounded
+
 #: Where the vocabulary files are on the driver; their bytes are broadcast.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept in a worker's table.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -153,20 +155,20 @@ class ByteBPE:
         shift = np.repeat(self._at[h] - np.concatenate(([0], np.cumsum(count)[:-1])), count)
         return self._ids[np.arange(len(shift)) + shift]
 
-    def groups(self, texts: list[str]) -> Iterator[list[str]]:
-        """Runs of texts of some 2 million characters; only so many words are held at once."""
+    def groups(self, texts: Iterable[str]) -> Iterator[list[str]]:
+        """Runs of texts of some 400,000 characters; only so many words are held at once."""
         own, size = [], 0
         for t in texts:
             own.append(t)
             size += len(t)
-            if size > 2_000_000:
+            if size > 400_000:
                 yield own
                 own, size = [], 0
         if own:
             yield own
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [self._gather(h) if h else np.zeros(0, np.int64) for g in self.groups(texts) for h in self._handles(g)]
+    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
+        return [self._gather(h).astype(np.int32) if h else np.zeros(0, np.int32) for g in self.groups(texts) for h in self._handles(g)]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         ids = np.asarray(ids, np.int64)
@@ -180,7 +182,7 @@ class ByteBPE:
     def decode(self, ids: np.ndarray) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def encode_shown(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
+    def encode_shown(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, str]]:
         """Ids, and the ids in decimal joined by commas, of each text."""
         for g in self.groups(texts):
             for h in self._handles(g):
@@ -201,18 +203,20 @@ def tokenizer(definition: bytes) -> ByteBPE:
 
 def encoder(spark: SparkSession, path: str = TOKENIZER):
     """A Column function: text to its ids."""
+    bounded(spark)
     shared = spark.sparkContext.broadcast(Path(path).read_bytes())
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         t = tokenizer(shared.value)
-        return pa.array([x.astype(np.int32) for x in t.encode([v or "" for v in texts.to_pylist()])], pa.list_(pa.int32()))
+        return pa.array(t.encode(v.as_py() or "" for v in texts), pa.list_(pa.int32()))
 
     return encode
 
 
 def decoder(spark: SparkSession, path: str = TOKENIZER):
     """A Column function: ids to their text. Null ids decode to the empty text."""
+    bounded(spark)
     shared = spark.sparkContext.broadcast(Path(path).read_bytes())
 
     @F.arrow_udf("string")
@@ -225,6 +229,7 @@ def decoder(spark: SparkSession, path: str = TOKENIZER):
 
 def digests(docs: DataFrame, path: str = TOKENIZER, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of ``docs``."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
     kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -232,7 +237,7 @@ def digests(docs: DataFrame, path: str = TOKENIZER, *, id_col: str = "doc_id", t
     def digest(texts: pa.Array) -> pa.Array:
         t = tokenizer(shared.value)
         rows = []
-        for ids, shown in t.encode_shown([v or "" for v in texts.to_pylist()]):
+        for ids, shown in t.encode_shown(v.as_py() or "" for v in texts):
             back = t.decode(ids).encode()
             rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
         return pa.array([dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), r, strict=True)) for r in rows], kind)

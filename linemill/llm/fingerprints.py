@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linemill.llm.batches import bounded
+
 PRIME = np.uint64(2**31 - 1)
 _BASES = (1_103_515_245, 1_812_433_253 % (2**31 - 1))
 WIDTH, KEEP = 20, 40
@@ -171,6 +173,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     the range before it, and the first row of all to the last.
     """
     spark = docs.sparkSession
+    bounded(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     least, nulls = docs.agg(F.min("doc_id"), F.max(F.col("doc_id").isNull())).first()

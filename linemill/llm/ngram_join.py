@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linemill.llm import shingles as S
+from linemill.llm.batches import bounded
 from linemill.llm.components import components
 from linemill.llm.scratch import Scratch
 
@@ -236,6 +237,7 @@ def _verify(percent: int):
 class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int, bits: int, hot: int, id_col: str, text_col: str):
         self.spark, self.k, self.percent, self.bits, self.hot = docs.sparkSession, k, percent, bits, hot
+        bounded(self.spark)
         self.scratch = Scratch(self.spark, "ngram_join")
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         one = self.docs.mapInArrow(_count_pass(k, bits, "doc_id"), "doc_id long, n int, node long, sig array<int>, part int, counts binary")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linemill.llm import shingles as S
+from linemill.llm.batches import bounded
 from linemill.llm.training import held_out, training_texts
 
 STATS = (
@@ -213,6 +214,7 @@ def stats_of(text: str | Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 6000, **options) -> tuple[float, list]:
     """Intercept and rules from at most ``per_class`` labelled texts of each class."""
+    bounded(docs.sparkSession)
     rows = training_texts(docs, labels, "quality", per_class).select(stats_of("text").alias("s"), "y").collect()
     y = np.array([r.y for r in rows], float)
     if len(set(y)) < 2:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linemill.llm.batches import bounded
 from linemill.llm.training import held_out, training_texts
 
 # Letters that look like Latin ones, and signs that stand for letters.
@@ -120,12 +121,17 @@ def _terms(folded: str) -> set[str]:
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for b in batches:
-        for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            counts[y].update(_terms(fold(text)))
+        for text, y in zip(b.column(0), b.column(1), strict=True):
+            counts[y.as_py()].update(_terms(fold(text.as_py())))
+            if len(counts[0]) + len(counts[1]) > 100_000:
+                yield _counted(counts)
+                counts = (Counter(), Counter())
+    yield _counted(counts)
+
+
+def _counted(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
     terms = list(counts[0].keys() | counts[1].keys())
-    for i in range(0, len(terms), 100_000):
-        part = terms[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([counts[y][t] for t in part], pa.int64()) for y in (0, 1))], ["term", "clean", "toxic"])
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[y][t] for t in terms], pa.int64()) for y in (0, 1))], ["term", "clean", "toxic"])
 
 
 #: Where there are no labels to fit: any hit of weight 4 tips the score.
@@ -159,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 6000, odds: floa
     A term enters when it is ``odds`` times as frequent in toxic texts and in at
     least ``support`` of them (4 at least); the ``terms`` most frequent ones.
     """
+    bounded(docs.sparkSession)
     rows = training_texts(docs, labels, "toxic", per_class).persist()
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -193,7 +200,7 @@ def _features(dumped: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(dumped)
         for b in batches:
-            found = [lexicon.features(t) for t in b.column(0).to_pylist()]
+            found = [lexicon.features(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()), b.column(1)], ["x", "z", "y"])
 
     return run
