@@ -68,7 +68,12 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, name: str, *, id_col: str =
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest"))
     own = Scratch(docs.sparkSession, "digests").keep(own)
     index.ingest(own, name)
-    return own.join(index.read(), "digest").select(
+    # A digest of a thousandth of all rows or more is one of a thousand at most: those are broadcast, and their rows stay where they are.
+    least = max(1000, -(-own.count() // 1000))
+    hot = own.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("digest")
+    hot = F.broadcast(index.read().join(hot, "digest", "left_semi"))
+    rare = own.join(hot.select("digest"), "digest", "left_anti").join(index.read(), "digest")
+    return own.join(hot, "digest").unionByName(rare).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
     )
 

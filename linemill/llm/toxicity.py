@@ -48,14 +48,14 @@ _TABLE |= {0xFF41 + i: chr(97 + i) for i in range(26)} | {0xFF10 + i: DIGITS.get
 _TABLE |= {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 _TABLE[ord("l")] = "i"
 _TABLE[0xFF41 + 11] = "i"
-_IN_WORD = re.compile(r"(?<=\w)[@$!|](?=[^\W_])|(?<![^\s])[@$](?=[^\W_])")
+_IN_WORD = re.compile(r"(?<=\w)[@$!|]+(?=[^\W_])|(?<!\S)[@$]+(?=[^\W_])")
 
 
 def fold(text: str) -> str:
     """Folded words, one space apart, with a space at either end."""
     text = text.lower()
     if "$" in text or "@" in text or "!" in text or "|" in text:
-        text = _IN_WORD.sub(lambda m: SIGNS[m[0]], text)
+        text = _IN_WORD.sub(lambda m: "".join(map(SIGNS.get, m[0])), text)
     return f" {' '.join(text.translate(_TABLE).split())} "
 
 

@@ -81,6 +81,9 @@ def test_digest_index(spark):
     met = more.select(E.digest(F.col("text")).alias("digest")).repartition(4, "digest").join(again.read().select("digest").hint("merge"), "digest", "left_anti")
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and "SortMergeJoin" in plan and plan.count("Exchange ") == 1
+    hot = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, 'Same', concat('own ', id)) as text")
+    found = E.exact_dedup(hot, again, "hot").groupBy("group_size", "kept").count().collect()
+    assert sorted(map(tuple, found)) == [(1, True, 4000), (2000, False, 1999), (2000, True, 1)]
     assert E.exact_dedup(frame.limit(0), again, "none").collect() == []
 
 
