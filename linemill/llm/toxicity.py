@@ -134,6 +134,16 @@ def _counted(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[y][t] for t in terms], pa.int64()) for y in (0, 1))], ["term", "clean", "toxic"])
 
 
+def _needed(picked: list[tuple[str, float, int]]) -> list[tuple[str, float]]:
+    """Whole words, and the beginnings that no single word accounts for: half of a beginning's texts or more is the word's own."""
+    most: dict[str, int] = {}
+    for term, _, toxic in picked:
+        if term.endswith(" "):
+            for n in (5, 6, 7):
+                most[term[:n]] = max(toxic, most.get(term[:n], 0))
+    return [(term, rate) for term, rate, toxic in picked if term.endswith(" ") or 2 * most.get(term, 0) < toxic]
+
+
 #: Where there are no labels to fit: any hit of weight 4 tips the score.
 _UNFITTED = [-4.0, 4.0, 1.0]
 
@@ -159,11 +169,12 @@ def _coefficients(rows: list) -> list[float]:
     return [float(v) for v in beta]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 6000, odds: float = 20.0, support: float = 0.004, terms: int = 5000) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 6000, odds: float = 20.0, support: float = 0.01, terms: int = 5000) -> Lexicon:
     """Learn from at most ``per_class`` labelled texts of each class.
 
     A term enters when it is ``odds`` times as frequent in toxic texts and in at
-    least ``support`` of them (4 at least); the ``terms`` most frequent ones.
+    least ``support`` of them (4 at least); the ``terms`` most frequent ones. A
+    beginning enters only if several words share it.
     """
     bounded(docs.sparkSession)
     rows = training_texts(docs, labels, "toxic", per_class).persist()
@@ -176,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 6000, odds: floa
         rate = F.expr(f"((toxic + 0.5) / {n1 + 1}.0) / ((clean + 0.5) / {n0 + 1}.0)")
         counts = rows.mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         picked = counts.filter(F.col("toxic") >= least).filter(rate >= odds).select("term", rate.alias("rate"), "toxic").orderBy(F.desc("toxic"), "term").limit(terms)
-        for r in picked.collect():
-            weights[r.term] = max(weights.get(r.term, 0.0), math.log(r.rate))
+        for term, rate in _needed([tuple(r) for r in picked.collect()]):
+            weights[term] = max(weights.get(term, 0.0), math.log(rate))
     lexicon = Lexicon(weights, exceptions, _UNFITTED)
     dumped = lexicon.dump()
     features = rows.mapInArrow(_features(dumped), "x double, z double, y int").collect()  # at most 2 * per_class rows
