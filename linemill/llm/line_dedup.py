@@ -1,13 +1,16 @@
 """Line dedup by pairwise alignment of documents that share lines.
 
-A line (text between newlines) stands for itself by its hash. Of each line hash
-that several documents hold, every later document is paired with the first
-holder, so pairs number at most the lines, however often a line occurs: rare
-lines give the pairs of true overlaps, and a line of a third of all documents
-gives each of them one pair. A pair is aligned by patience diff; the common
-blocks of consecutive aligned lines that have ``min_words`` words or more
-together go from the later document. Shorter common blocks stay: stock lines of
-a few words are no copied passage.
+A line (text between newlines) stands for itself by its hash. Lines are rare
+enough to pair documents once they have ``min_words`` words: a shorter line
+counts only with as many of its neighbours, after it or before it, as it takes.
+Of each such run of line hashes that several documents hold, every later
+document is paired with the first holder, so pairs number at most twice the
+lines, however often a run occurs: a line of a third of all documents gives each
+of them one pair. A pair is aligned by patience diff; the common blocks of
+consecutive aligned lines that have ``min_words`` words or more together go from
+the later document. Every line of such a block lies in a run inside it, so a
+block that any earlier document has is met through first holders alone. Shorter
+common blocks stay: stock lines of a few words are no copied passage.
 
 "Later" is by (id, text hash). Rows with equal ids and texts are one document
 and are treated alike. Null and empty texts have no lines to share and stay as
@@ -20,10 +23,13 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linemill.llm import shingles as S
+from linemill.llm.batches import bounded
 from linemill.llm.bloom import BloomFilter
 from linemill.llm.scratch import Scratch
 
@@ -95,6 +101,29 @@ def common_lines(first: list[int], later: list[int], words: list[int], min_words
     return gone
 
 
+def runs(hashes: list[int], words: list[int], min_words: int) -> np.ndarray:
+    """Hashes of the shortest runs of ``min_words`` words that start or end at each line, each once. A blank line is part of a run only inside it."""
+    n = len(hashes)
+    upto = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    filled = np.flatnonzero(np.diff(upto))
+    ends = np.searchsorted(upto, upto[filled] + min_words, "left")
+    starts = np.searchsorted(upto, upto[filled + 1] - min_words, "right") - 1
+    first, end = filled[ends <= n], ends[ends <= n]
+    first, end = np.concatenate((first, starts[starts >= 0])), np.concatenate((end, filled[starts >= 0] + 1))
+    power, inverse = S._power_arrays(n + 1)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(S.mix(np.array(hashes, np.int64).view(np.uint64)) * power[:n], out=prefix[1:])
+    return np.unique(S.mix((prefix[end] - prefix[first]) * inverse[first] + (end - first).astype(np.uint64))).view(np.int64)
+
+
+def _runs(min_words: int):
+    @F.arrow_udf("array<long>")
+    def found(hashes: pa.Array, words: pa.Array) -> pa.Array:
+        return pa.array([runs(h, w, min_words) for h, w in zip(hashes.to_pylist(), words.to_pylist(), strict=True)], pa.list_(pa.int64()))
+
+    return found
+
+
 def _aligned(min_words: int):
     @F.arrow_udf("array<int>")
     def align(first: pa.Array, later: pa.Array, words: pa.Array) -> pa.Array:
@@ -113,7 +142,7 @@ def removals(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
         F.expr("transform(split(text, '\\n', -1), x -> if(trim(x) = '', 0, 1 + length(trim(x)) - length(replace(trim(x), ' ', ''))))").alias("words"),
     )
     lines = scratch.keep(lines.dropDuplicates(["k", "th"]), "lines")
-    each = lines.select("k", "th", F.explode(F.arrays_zip("hashes", "words")).alias("x")).filter("x.words > 0").select("k", "th", F.col("x.hashes").alias("h")).distinct()
+    each = lines.select("k", "th", F.explode(_runs(min_words)("hashes", "words")).alias("h"))
     doc = F.struct("k", "th")
     held = each.groupBy("h").agg(F.min(doc).alias("f"), F.max(doc).alias("l")).filter("f != l").select("h", F.col("f.k").alias("fk"), F.col("f.th").alias("fth"))
     pairs = each.join(held, "h").filter("k != fk or th != fth").select("k", "th", "fk", "fth").distinct()
@@ -132,8 +161,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def line_dedup(docs: DataFrame, *, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of ``docs``: row (the input as a struct), text without the deleted lines, n_lines, n_removed.
 
-    min_words: words that an aligned block needs to be deleted.
+    min_words: words that an aligned block needs to be deleted, one at least.
     """
+    bounded(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "line_dedup")
     keyed = _keyed(docs, id_col, text_col)
     gone = removals(keyed.select("k", "th", "text"), scratch, min_words)

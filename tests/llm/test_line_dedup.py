@@ -17,26 +17,45 @@ def test_patience_aligns_in_order():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
 
 
+def _count(line):
+    return len(line.strip(" ").split(" ")) if line.strip(" ") else 0
+
+
+def _runs(lines, min_words):
+    """Runs of lines with enough words of which no line at one end can be spared."""
+    n = [_count(x) for x in lines]
+    for i in range(len(lines)):
+        for j in range(i + 1, len(lines) + 1):
+            if n[i] and n[j - 1] and sum(n[i:j]) >= min_words and (sum(n[i + 1 : j]) < min_words or sum(n[i : j - 1]) < min_words):
+                yield tuple(lines[i:j])
+
+
 def brute(rows, min_words):
-    """Each document against the first holder of each of its lines, over whole texts."""
+    """Each document against the first holder of each of its runs, over whole texts."""
     docs = sorted({(-(2**63) if i is None else i, t or "") for i, t in rows})
     first = {}
     for d in docs:
-        for line in d[1].split("\n"):
-            if line.strip(" "):
-                first.setdefault(line, d)
+        for run in _runs(d[1].split("\n"), min_words):
+            first.setdefault(run, d)
     out = {}
     for d in docs:
         lines = d[1].split("\n")
         gone = set()
-        for f in {first[x] for x in lines if x.strip(" ")} - {d}:
+        for f in {first[x] for x in _runs(lines, min_words)} - {d}:
             ids = {}
             code = lambda xs: [ids.setdefault(x, len(ids)) for x in xs]
-            gone |= set(L.common_lines(code(f[1].split("\n")), code(lines), [len(x.strip(" ").split(" ")) if x.strip(" ") else 0 for x in lines], min_words))
+            gone |= set(L.common_lines(code(f[1].split("\n")), code(lines), list(map(_count, lines)), min_words))
         out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
     return sorted(((i, *out[(-(2**63) if i is None else i, t or "")]) for i, t in rows), key=str)
 
 
+def test_a_block_is_found_whoever_holds_its_lines_first(spark):
+    a, b, c = "one two three four", "five six seven eight", "nine ten"
+    rows = [(1, a), (2, f"x\n{b}"), (3, c), (4, f"start\n{a}\n\n{b}\n{c}"), (5, f"own\n{a}\n\n{b}\n{c}\nend"), (6, f"{a}\n{b}")]
+    got = {r.row.doc_id: r.text for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA), min_words=8).collect()}
+    assert got == dict(rows) | {5: "own\nend"}
+
+
 def test_matches_brute_force(spark):
     rng = random.Random(3)
     line = lambda: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 9)))
