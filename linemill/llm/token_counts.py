@@ -4,8 +4,10 @@ A change is a signed insert, delete or revised count of one document under one
 tokenizer version. A batch of changes is aggregated by source, language and
 tokenizer before the shuffle, and written under its batch name; a batch that is
 there already is not written again, so a commit may be repeated after a failure
-without counting twice. Totals are the sums over all batches; ``compact`` folds
-committed batches into one.
+without counting twice. Totals are the sums over all batches. ``compact`` folds
+the committed batches into one table, with their names beside it; the names
+count as committed from then on, and the last finished fold is the one that is
+read, so a fold that a failure cut off changes nothing. One writer folds at a time.
 
 Null sources and languages are groups of their own. Null texts count as empty:
 one document without tokens.
@@ -51,7 +53,7 @@ class TokenRollup:
         return f"{self.root}/batch={batch}"
 
     def committed(self, batch: str) -> bool:
-        return exists(self.spark, f"{self._at(batch)}/_SUCCESS")
+        return exists(self.spark, f"{self._at(batch)}/_SUCCESS") or batch in self.folded()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch; False if it is there already. What an earlier try left unfinished is replaced."""
@@ -61,21 +63,55 @@ class TokenRollup:
         sums.write.mode("overwrite").parquet(self._at(batch))
         return True
 
-    def batches(self) -> list[str]:
+    def _finished(self, prefix: str) -> list[str]:
+        """What follows ``prefix`` in the names of tables that were written to their end."""
         path, fs = _path(self.spark, self.root)
         if not fs.exists(path):
             return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("batch="))
-        return [n.removeprefix("batch=") for n in names if self.committed(n.removeprefix("batch="))]
+        names = sorted(s.getPath().getName() for s in fs.listStatus(path))
+        return [n.removeprefix(prefix) for n in names if n.startswith(prefix) and exists(self.spark, f"{self.root}/{n}/_SUCCESS")]
 
-    def totals(self) -> DataFrame:
-        """KEYS, n_docs, n_tokens; a group whose documents are all gone has no row."""
-        found = self.batches()
+    def _fold(self) -> int:
+        return max(map(int, self._finished("fold=")), default=0)
+
+    def folded(self) -> set[str]:
+        """Names of the batches that the last fold holds: as many as there were commits."""
+        n = self._fold()
+        return {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.root}/names={n}").collect()} if n else set()
+
+    def batches(self) -> list[str]:
+        """Committed batches that no fold holds."""
+        held = self.folded()
+        return [n for n in self._finished("batch=") if n not in held]
+
+    def _sums(self, names: list[str]) -> DataFrame | None:
+        n = self._fold()
+        found = [f"{self.root}/fold={n}"] * bool(n) + list(map(self._at, names))
         if not found:
-            return self.spark.createDataFrame([], _DELTA)
-        every = self.spark.read.schema(_DELTA).parquet(*map(self._at, found))
+            return None
+        every = self.spark.read.schema(_DELTA).parquet(*found)
         return every.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs != 0 or n_tokens != 0")
 
+    def totals(self) -> DataFrame:
+        """KEYS, n_docs, n_tokens; a group whose documents are all gone has no row."""
+        sums = self._sums(self.batches())
+        return self.spark.createDataFrame([], _DELTA) if sums is None else sums
+
+    def compact(self) -> int:
+        """Fold the committed batches; how many were folded. Their own tables, and the fold before, go when the new one is finished."""
+        new = self.batches()
+        if new:
+            before = self._fold()
+            every = [(b,) for b in sorted(self.folded() | set(new))]
+            self.spark.createDataFrame(every, "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/names={before + 1}")
+            self._sums(new).write.mode("overwrite").parquet(f"{self.root}/fold={before + 1}")
+        now, held = self._fold(), self.folded()
+        old = [f"batch={b}" for b in self._finished("batch=") if b in held] + [f"{kind}{n}" for kind in ("fold=", "names=") for n in self._finished(kind) if int(n) < now]
+        for name in old:
+            path, fs = _path(self.spark, f"{self.root}/{name}")
+            fs.delete(path, True)
+        return len(new)
+
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in under two tokenizer versions; the counts of one are revised; empty texts are deleted; batches are repeated."""

@@ -61,7 +61,14 @@ def test_rollup(spark):
     rollup.commit("y", revised(docs.filter("source = 'a'"), "v1", one, one + 2))
     rollup.commit("z", deleted(docs.filter("source = 'b'"), "v1", one))
     rollup.commit("w", inserted(docs.limit(0), "v1", one))
-    assert sorted(map(tuple, rollup.totals().collect()), key=str) == sorted([("a", "en", "v1", 2, 14), (None, "en", "v1", 1, 5)], key=str)
+    want = sorted([("a", "en", "v1", 2, 14), (None, "en", "v1", 1, 5)], key=str)
+    shown = lambda: sorted(map(tuple, rollup.totals().collect()), key=str)
+    assert shown() == want
+    assert rollup.compact() == 4 and rollup.batches() == [] and shown() == want
+    assert not rollup.commit("x", inserted(docs, "v1", one)) and rollup.compact() == 0 and shown() == want
+    spark.createDataFrame([("u",)], "batch string").write.parquet(f"{rollup.root}/names=2")  # a fold that was cut off
+    assert rollup.commit("u", deleted(docs.filter("source is null"), "v1", one)) and shown() == [("a", "en", "v1", 2, 14)]
+    assert rollup.compact() == 1 and shown() == [("a", "en", "v1", 2, 14)] and not rollup.commit("u", inserted(docs, "v1", one))
 
 
 def test_digest_index(spark):
