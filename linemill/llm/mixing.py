@@ -4,7 +4,8 @@ Weights are the sources' token shares raised to a power and normalised. The
 power is found by bisection: the largest in [0, 1] whose mixture has the entropy
 asked for, or, if nearer to 1, the smallest that keeps every source's repetition
 within its limit. The weights are realised by block permutations: a source's
-documents fall into blocks of about ``block_tokens`` by a hash, the blocks of a
+documents fall into blocks of about ``block_tokens`` (and ``block_rows`` rows at
+most, by plan) by a hash, the blocks of a
 source are taken in the order of a hash, whole passes first, then blocks until
 the source's budget is met, documents of the last block in the order of a hash.
 Only built-in expressions run, and only the one block of a source that its
@@ -74,7 +75,7 @@ def find_power(totals: DataFrame, total: float, budget: float, entropy: float, r
 
 
 def mix(
-    docs: DataFrame, *, entropy: float = 0.95, repetition: float = 4.0, budget: float = 1.0, whole: bool = False, block_tokens: int = 1 << 20, seed: int = 0,
+    docs: DataFrame, *, entropy: float = 0.95, repetition: float = 4.0, budget: float = 1.0, whole: bool = False, block_tokens: int = 1 << 20, block_rows: int = 1 << 18, seed: int = 0,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """One row a row of ``docs``: row (the input as a struct), n_tokens, weight, block, copies.
@@ -82,14 +83,14 @@ def mix(
     entropy: of the mixture, as a share of ln(number of sources). repetition: passes over a source at most.
     budget: tokens of the mixture, as a share of all tokens. whole: raise the budget
     until every source has one pass at least; the limit of passes then also bounds that.
-    block_tokens: tokens a block by plan.
+    block_tokens, block_rows: tokens and rows a block by plan.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     source = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col).cast("string")))
     h = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
     own = docs.select(F.struct("*").alias("row"), source.alias("s"), h.alias("h"), tokens(F.col(text_col)).alias("n"))
     sizes = scratch.keep(own.select("s", "h", "n"), "sizes")
-    totals = scratch.keep(sizes.groupBy("s").agg(F.sum("n").alias("source_tokens")), "totals")
+    totals = scratch.keep(sizes.groupBy("s").agg(F.sum("n").alias("source_tokens"), F.count(F.lit(1)).alias("source_rows")), "totals")
     total = totals.agg(F.sum("source_tokens")).first()[0] or 0
     # With ``whole``, a source's passes are its weight over its share, relative to the least such: power 1 gives 1 to all.
     if whole:
@@ -106,7 +107,7 @@ def mix(
         "s",
         F.when(F.col("source_tokens") > 0, F.floor(passes)).otherwise(1).cast("int").alias("full"),
         F.when(F.col("source_tokens") > 0, F.floor((passes - F.floor(passes)) * F.col("source_tokens"))).otherwise(0).cast("long").alias("rest"),
-        F.ceil(F.greatest(F.col("source_tokens"), F.lit(1)) / F.lit(block_tokens)).cast("long").alias("blocks"),
+        F.ceil(F.greatest(F.col("source_tokens") / F.lit(block_tokens), F.col("source_rows") / F.lit(block_rows))).cast("long").alias("blocks"),
         F.pow(F.col("source_tokens") / F.lit(float(max(total, 1))), F.lit(power)).alias("raw"),
     )
     mass = plan.agg(F.sum(F.when(F.col("raw") > 0, F.col("raw")))).first()[0] or 1.0

@@ -53,5 +53,7 @@ def test_whole_keeps_every_row(spark):
         times[r.doc_id] += 1
     assert set(times) == {r[0] for r in rows} and max(n for i, n in times.items() if i) <= 2
     assert M.mix(frame.limit(0)).collect() == []
+    spread = M.mix(spark.range(1000).selectExpr("id as doc_id", "'s' as source", "if(id = 0, 'w', '') as text"), block_rows=50).collect()
+    assert len({r.block for r in spread}) == 20 and len(spread) == 1000
     only = frame.filter("source = 'b'")
     assert {r.copies for r in M.mix(only).collect()} == {1}
