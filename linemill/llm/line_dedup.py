@@ -142,7 +142,7 @@ def removals(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
         F.expr("transform(split(text, '\\n', -1), x -> if(trim(x) = '', 0, 1 + length(trim(x)) - length(replace(trim(x), ' ', ''))))").alias("words"),
     )
     lines = scratch.keep(lines.dropDuplicates(["k", "th"]), "lines")
-    each = lines.select("k", "th", F.explode(_runs(min_words)("hashes", "words")).alias("h"))
+    each = scratch.keep(lines.select("k", "th", F.explode(_runs(min_words)("hashes", "words")).alias("h")), "runs")
     doc = F.struct("k", "th")
     held = each.groupBy("h").agg(F.min(doc).alias("f"), F.max(doc).alias("l")).filter("f != l").select("h", F.col("f.k").alias("fk"), F.col("f.th").alias("fth"))
     pairs = each.join(held, "h").filter("k != fk or th != fth").select("k", "th", "fk", "fth").distinct()
@@ -150,6 +150,7 @@ def removals(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
     found = pairs.join(lines, ["k", "th"]).join(first, ["fk", "fth"]).select("k", "th", _aligned(min_words)("first", "hashes", "words").alias("gone"))
     found = found.filter("size(gone) > 0").groupBy("k", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     found = scratch.keep(found, "gone")
+    scratch.drop(lines, each)
     return found
 
 
