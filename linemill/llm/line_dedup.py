@@ -1,21 +1,25 @@
-"""Line dedup by pairwise alignment of documents that share lines.
-
-A line (text between newlines) stands for itself by its hash. Lines are rare
-enough to pair documents once they have ``min_words`` words: a shorter line
-counts only with as many of its neighbours, after it or before it, as it takes.
-Of each such run of line hashes that several documents hold, every later
-document is paired with the first holder, so pairs number at most twice the
-lines, however often a run occurs: a line of a third of all documents gives each
-of them one pair. A pair is aligned by patience diff; the common blocks of
-consecutive aligned lines that have ``min_words`` words or more together go from
-the later document. Every line of such a block lies in a run inside it, so a
-block that any earlier document has is met through first holders alone. Shorter
-common blocks stay: stock lines of a few words are no copied passage.
+"""Line dedup by the blocks that documents share, as pairwise alignment finds them.
+
+A line (text between newlines) stands for itself by its hash. A block is a
+stretch of consecutive lines that two documents hold, of ``min_words`` words or
+more together. Every block goes from the later of the two, whichever earlier
+document it is and in whatever order and number the blocks stand in either:
+what alignments of a document with all earlier ones can find, repeated until no
+block is left. Shorter stretches stay: stock lines of a few words are no copied
+passage.
+
+Blocks are met through their shortest parts: for each line, the shortest run of
+``min_words`` words that starts there and the one that ends there. Every line of
+a block lies in such a run inside it, so a line goes if and only if one of the
+runs over it has an earlier holder. The least holder of a run tells that, so no
+two documents need to be paired, and work grows with lines, however many hold
+a run.
 
 "Later" is by (id, text hash). Rows with equal ids and texts are one document
 and are treated alike. Null and empty texts have no lines to share and stay as
-they are (null becomes empty); blank lines never pair documents and belong to
-a block only inside it.
+they are (null becomes empty). Blank lines have no words; they go with the block
+that they stand in or next to in both documents. What one document repeats
+within itself stays unless an earlier one holds it; then each place goes.
 """
 
 from __future__ import annotations
@@ -87,50 +91,51 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_lines(first: list[int], later: list[int], words: list[int], min_words: int) -> list[int]:
-    """Lines of ``later`` in aligned blocks of ``min_words`` words or more. words: of each line of ``later``."""
-    gone: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
-    for x, y in [*patience(first, later), (-9, -9)]:
-        if (x, y) != (last[0] + 1, last[1] + 1):
-            if sum(words[k] for k in block) >= min_words:
-                gone += block
-            block = []
-        block.append(y)
-        last = (x, y)
-    return gone
+    """Lines of ``later`` in blocks that ``first`` holds too. words: of each line of ``later``."""
+    known = dict(zip(later, words, strict=True))
+    return held_lines(later, words, runs(first, [known.get(x, 0) for x in first], min_words)[2], min_words)
 
 
-def runs(hashes: list[int], words: list[int], min_words: int) -> np.ndarray:
-    """Hashes of the shortest runs of ``min_words`` words that start or end at each line, each once. A blank line is part of a run only inside it."""
+def runs(hashes: list[int], words: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, line after the last, hash) of the shortest runs of ``min_words`` words that start or end at each line."""
     n = len(hashes)
     upto = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
-    filled = np.flatnonzero(np.diff(upto))
-    ends = np.searchsorted(upto, upto[filled] + min_words, "left")
-    starts = np.searchsorted(upto, upto[filled + 1] - min_words, "right") - 1
-    first, end = filled[ends <= n], ends[ends <= n]
-    first, end = np.concatenate((first, starts[starts >= 0])), np.concatenate((end, filled[starts >= 0] + 1))
+    ends = np.searchsorted(upto, upto[:-1] + min_words, "left")
+    starts = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
+    from_line, to_line = np.flatnonzero(ends <= n), np.flatnonzero(starts >= 0)
+    first, end = np.concatenate((from_line, starts[to_line])), np.concatenate((ends[from_line], to_line + 1))
     power, inverse = S._power_arrays(n + 1)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(S.mix(np.array(hashes, np.int64).view(np.uint64)) * power[:n], out=prefix[1:])
-    return np.unique(S.mix((prefix[end] - prefix[first]) * inverse[first] + (end - first).astype(np.uint64))).view(np.int64)
+    return first, end, S.mix((prefix[end] - prefix[first]) * inverse[first] + (end - first).astype(np.uint64)).view(np.int64)
+
+
+def held_lines(hashes: list[int], words: list[int], held: list[int] | np.ndarray, min_words: int) -> list[int]:
+    """Lines that lie in a run of which ``held`` has the hash."""
+    first, end, h = runs(hashes, words, min_words)
+    hit = np.isin(h, np.asarray(held, np.int64))
+    depth = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(depth, first[hit], 1)
+    np.add.at(depth, end[hit], -1)
+    return np.flatnonzero(np.cumsum(depth)).tolist()
 
 
 def _runs(min_words: int):
     @F.arrow_udf("array<long>")
     def found(hashes: pa.Array, words: pa.Array) -> pa.Array:
-        return pa.array([runs(h, w, min_words) for h, w in zip(hashes.to_pylist(), words.to_pylist(), strict=True)], pa.list_(pa.int64()))
+        cols = zip(hashes.to_pylist(), words.to_pylist(), strict=True)
+        return pa.array([np.unique(runs(h, w, min_words)[2]) for h, w in cols], pa.list_(pa.int64()))
 
     return found
 
 
-def _aligned(min_words: int):
+def _gone(min_words: int):
     @F.arrow_udf("array<int>")
-    def align(first: pa.Array, later: pa.Array, words: pa.Array) -> pa.Array:
-        cols = zip(first.to_pylist(), later.to_pylist(), words.to_pylist(), strict=True)
-        return pa.array([common_lines(x, y, w, min_words) for x, y, w in cols], pa.list_(pa.int32()))
+    def gone(hashes: pa.Array, words: pa.Array, held: pa.Array) -> pa.Array:
+        cols = zip(hashes.to_pylist(), words.to_pylist(), held.to_pylist(), strict=True)
+        return pa.array([held_lines(h, w, x, min_words) for h, w, x in cols], pa.list_(pa.int32()))
 
-    return align
+    return gone
 
 
 def removals(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
@@ -144,12 +149,9 @@ def removals(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
     lines = scratch.keep(lines.dropDuplicates(["k", "th"]), "lines")
     each = scratch.keep(lines.select("k", "th", F.explode(_runs(min_words)("hashes", "words")).alias("h")), "runs")
     doc = F.struct("k", "th")
-    held = each.groupBy("h").agg(F.min(doc).alias("f"), F.max(doc).alias("l")).filter("f != l").select("h", F.col("f.k").alias("fk"), F.col("f.th").alias("fth"))
-    pairs = each.join(held, "h").filter("k != fk or th != fth").select("k", "th", "fk", "fth").distinct()
-    first = lines.select(F.col("k").alias("fk"), F.col("th").alias("fth"), F.col("hashes").alias("first"))
-    found = pairs.join(lines, ["k", "th"]).join(first, ["fk", "fth"]).select("k", "th", _aligned(min_words)("first", "hashes", "words").alias("gone"))
-    found = found.filter("size(gone) > 0").groupBy("k", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    found = scratch.keep(found, "gone")
+    first = each.groupBy("h").agg(F.min(doc).alias("f"), F.max(doc).alias("l")).filter("f != l").select("h", F.col("f.k").alias("fk"), F.col("f.th").alias("fth"))
+    held = each.join(first, "h").filter("k != fk or th != fth").groupBy("k", "th").agg(F.collect_list("h").alias("held"))
+    found = scratch.keep(lines.join(held, ["k", "th"]).select("k", "th", _gone(min_words)("hashes", "words", "held").alias("gone")), "gone")
     scratch.drop(lines, each)
     return found
 
@@ -162,7 +164,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def line_dedup(docs: DataFrame, *, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of ``docs``: row (the input as a struct), text without the deleted lines, n_lines, n_removed.
 
-    min_words: words that an aligned block needs to be deleted, one at least.
+    min_words: words that a common block needs to be deleted, one at least.
     """
     bounded(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "line_dedup")

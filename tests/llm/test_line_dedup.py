@@ -75,6 +75,38 @@ def test_matches_brute_force(spark):
     assert sorted(((r.row.doc_id, r.text, r.n_removed) for r in got), key=str) == brute(rows, 7)
 
 
+def every_earlier(rows, min_words):
+    """Each document loses every stretch of lines with enough words that any earlier document holds, over whole texts."""
+    docs = sorted(rows)
+    stretches = [
+        {tuple(x[i:j]): None for i in range(len(x)) for j in range(i + 1, len(x) + 1) if sum(map(_count, x[i:j])) >= min_words} for x in (t.split("\n") for _, t in docs)
+    ]
+    out = {}
+    for d, (k, t) in enumerate(docs):
+        x, gone = t.split("\n"), set()
+        for i in range(len(x)):
+            for j in range(i + 1, len(x) + 1):
+                if any(tuple(x[i:j]) in held for held in stretches[:d]):
+                    gone |= set(range(i, j))
+        out[k] = "\n".join(v for i, v in enumerate(x) if i not in gone)
+    return out
+
+
+def test_passages_in_another_order_go_from_every_later_document(spark):
+    p, q = "p1 p2 p3 p4 p5\np6 p7 p8 p9", "q1 q2 q3 q4 q5 q6 q7 q8"
+    rows = [(1, f"{p}\nown one\n{q}")] + [(i, f"start {i}\n{q}\nown {i}\n{p}\nend {i}") for i in range(2, 6)]
+    got = {r.row.doc_id: r.text for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA), min_words=8).collect()}
+    assert got == {1: rows[0][1]} | {i: f"start {i}\nown {i}\nend {i}" for i in range(2, 6)}
+
+
+def test_matches_alignment_with_every_earlier_document(spark):
+    rng = random.Random(5)
+    stock = ["", "a", "b b", "c c c", "d d d d"]
+    rows = [(i, "\n".join(rng.choice(stock) if rng.random() < 0.9 else f"own {i}" for _ in range(rng.randrange(1, 14)))) for i in range(60)]
+    got = {r.row.doc_id: r.text for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), min_words=6).collect()}
+    assert got == every_earlier(rows, 6)
+
+
 def test_rows_left_keeps_columns_and_drops_emptied(spark):
     body = "one two three four five six seven\neight nine ten eleven twelve thirteen fourteen"
     rows = [(1, body, 5), (2, body, 5), (3, body + "\nfresh", 6), (4, "", 0)]
