@@ -41,7 +41,10 @@ _NEWLINE = "\n"
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned positions (in a, in b): equal ends, then lines that occur once on both sides, in order, and so on between them."""
+    """Aligned positions (in a, in b): equal ends, then lines that occur once on both sides, in order, and so on between them.
+
+    Where no line is such, the k-th of a line on one side stands for the k-th on the other.
+    """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -54,14 +57,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             out.append((i2, j2))
         if i == i2 or j == j2:
             continue
-        once: dict[int, int] = {}
-        for y in range(j, j2):
-            once[b[y]] = -1 if b[y] in once else y
-        seen: dict[int, int] = {}
-        for x in range(i, i2):
-            seen[a[x]] = -1 if a[x] in seen else x
-        both = [(x, once[v]) for v, x in seen.items() if x >= 0 and once.get(v, -1) >= 0]
-        chain = _rising(both)
+        chain = _rising(_once(a, i, i2, b, j, j2)) or _rising(_in_turn(a, i, i2, b, j, j2))
         x0, y0 = i, j
         for x, y in chain:
             out.append((x, y))
@@ -72,6 +68,25 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _once(a: list[int], i: int, i2: int, b: list[int], j: int, j2: int) -> list[tuple[int, int]]:
+    """Positions of the lines that occur once in a[i:i2] and once in b[j:j2]."""
+    once: dict[int, int] = {}
+    for y in range(j, j2):
+        once[b[y]] = -1 if b[y] in once else y
+    seen: dict[int, int] = {}
+    for x in range(i, i2):
+        seen[a[x]] = -1 if a[x] in seen else x
+    return [(x, once[v]) for v, x in seen.items() if x >= 0 and once.get(v, -1) >= 0]
+
+
+def _in_turn(a: list[int], i: int, i2: int, b: list[int], j: int, j2: int) -> list[tuple[int, int]]:
+    """Positions of each line's first in a[i:i2] and in b[j:j2], its second in both, and so on."""
+    places: dict[int, list[int]] = {}
+    for y in range(j2 - 1, j - 1, -1):
+        places.setdefault(b[y], []).append(y)
+    return [(x, places[a[x]].pop()) for x in range(i, i2) if places.get(a[x])]
+
+
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest run of pairs, sorted by the first, that rises in the second."""
     tops: list[int] = []

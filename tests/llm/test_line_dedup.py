@@ -107,6 +107,25 @@ def test_matches_alignment_with_every_earlier_document(spark):
     assert got == every_earlier(rows, 6)
 
 
+def test_patience_aligns_lines_that_occur_twice():
+    assert L.patience([1, 7, 2, 7, 3], [8, 7, 9]) == [(1, 1)]
+    assert L.patience([1, 7, 3], [8, 7, 9, 7, 4]) == [(1, 1)]
+    assert L.patience([1, 7, 2, 7, 3], [8, 7, 9, 7, 4]) == [(1, 1), (3, 3)]
+
+
+def test_a_doubled_passage_goes_from_later_documents(spark):
+    p = "p1 p2 p3 p4 p5 p6 p7 p8"
+    twice = [f"head {i}\n{p}\nown {i}\n{p}\nend {i}" for i in range(4)]
+    once = [f"start {i}\n{p}\nclose {i}" for i in range(4)]
+    for rows, left in (
+        ([(1, twice[1]), (2, once[2]), (3, once[3])], {1: twice[1], 2: "start 2\nclose 2", 3: "start 3\nclose 3"}),
+        ([(1, once[1]), (2, twice[2]), (3, twice[3])], {1: once[1], 2: "head 2\nown 2\nend 2", 3: "head 3\nown 3\nend 3"}),
+    ):
+        frame = spark.createDataFrame(rows, SCHEMA)
+        assert {r.row.doc_id: r.text for r in L.line_dedup(frame, min_words=8).collect()} == left
+        assert {r.doc_id: r.text for r in L.rows_left(frame, min_words=8).collect()} == left
+
+
 def test_rows_left_keeps_columns_and_drops_emptied(spark):
     body = "one two three four five six seven\neight nine ten eleven twelve thirteen fourteen"
     rows = [(1, body, 5), (2, body, 5), (3, body + "\nfresh", 6), (4, "", 0)]
