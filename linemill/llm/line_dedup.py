@@ -1,6 +1,10 @@
 """Line dedup by the blocks that documents share, as pairwise alignment finds them.
 
-A line (text between newlines) stands for itself by its hash. A block is a
+A line (text between newlines) stands for itself by its hash, without white
+space (0x20, 0x09-0x0D) at its end, so that copies with other line ends are met.
+Words are runs of characters other than white space; in scripts that are written
+without spaces (Han, kana, Thai, Lao, Burmese, Khmer) each character counts as
+one. A block is a
 stretch of consecutive lines that two documents hold, of ``min_words`` words or
 more together. Every block goes from the later of the two, whichever earlier
 document it is and in whatever order and number the blocks stand in either:
@@ -38,6 +42,9 @@ from linemill.llm.bloom import BloomFilter
 from linemill.llm.scratch import Scratch
 
 _NEWLINE = "\n"
+_WHITE = " \t\n\x0b\x0c\r"
+_ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+_WORD = rf"[{_ALONE}]|[^\x20\x09-\x0D{_ALONE}]+"
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -155,11 +162,12 @@ def _gone(min_words: int):
 
 def removals(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
     """(k, th, gone): the lines to be deleted, by document. k: the id, a null as the least; th: the text's hash."""
+    own = F.split("text", _NEWLINE, -1)
     lines = docs.select(
         "k",
         "th",
-        F.expr("transform(split(text, '\\n', -1), x -> xxhash64(x))").alias("hashes"),
-        F.expr("transform(split(text, '\\n', -1), x -> if(trim(x) = '', 0, 1 + length(trim(x)) - length(replace(trim(x), ' ', ''))))").alias("words"),
+        F.transform(own, lambda x: F.xxhash64(F.rtrim(x, F.lit(_WHITE)))).alias("hashes"),
+        F.transform(own, lambda x: F.regexp_count(x, F.lit(_WORD))).alias("words"),
     )
     lines = scratch.keep(lines.dropDuplicates(["k", "th"]), "lines")
     each = scratch.keep(lines.select("k", "th", F.explode(_runs(min_words)("hashes", "words")).alias("h")), "runs")

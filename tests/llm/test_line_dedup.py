@@ -126,6 +126,18 @@ def test_a_doubled_passage_goes_from_later_documents(spark):
         assert {r.doc_id: r.text for r in L.rows_left(frame, min_words=8).collect()} == left
 
 
+def test_words_and_line_ends_of_any_white_space(spark):
+    tabs, han, thai = "\t".join("abcdefgh"), "\u6211\u4eec\u5728\u8fd9\u91cc\u770b\u4e66\uff0c\u559d\u8336", "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\u0e0a\u0e32\u0e27"
+    passage = "one two three four\n\nfive six seven eight"
+    link = "https://example.org/one/long/link/of/one/word"
+    rows = []
+    for i, part in enumerate([tabs, han, thai, passage.replace("\n", "\r\n"), link]):
+        rows += [(10 * i + 1, part), (10 * i + 2, f"own {i}\n{part}\nend {i}")]
+    rows += [(35, f"own\n{passage}\t \nend"), (36, "x y\n \t\r\nz")]
+    got = {r.row.doc_id: r.text for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA), min_words=8).collect()}
+    assert got == dict(rows) | {10 * i + 2: f"own {i}\nend {i}" for i in range(4)} | {35: "own\nend"}
+
+
 def test_rows_left_keeps_columns_and_drops_emptied(spark):
     body = "one two three four five six seven\neight nine ten eleven twelve thirteen fourteen"
     rows = [(1, body, 5), (2, body, 5), (3, body + "\nfresh", 6), (4, "", 0)]
