@@ -1,0 +1,12 @@
+import math
+from collections import Counter
+
+import corpus_pipeline as C
+
+
+def test_mixing_meets_its_entropy_beside_a_hot_source(spark):
+    rows = [(i, f"word {i} of many", "hot" if i % 3 == 0 else f"s{i % 20}") for i in range(6000)]
+    n = Counter(r.source for r in C.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect())
+    assert set(n) == {r[2] for r in rows} and all(n[s] >= k for s, k in Counter(r[2] for r in rows).items())
+    total = sum(n.values())
+    assert -sum(k / total * math.log(k / total) for k in n.values()) / math.log(len(n)) >= 0.949
