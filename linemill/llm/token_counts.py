@@ -114,7 +114,7 @@ class TokenRollup:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in under two tokenizer versions; the counts of one are revised; empty texts are deleted; batches are repeated."""
+    """All documents come in under two tokenizer versions; the counts of one are revised; empty texts are deleted; one language is deleted and comes in again; batches are repeated."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang", "text")
     text = F.coalesce("text", F.lit(""))
     by_word, by_byte, by_char = words(text), F.octet_length(text).cast("long"), F.length(text).cast("long")
@@ -128,6 +128,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("3", changed)
     none = docs.filter(text == "")
     rollup.commit("4", deleted(none, "words-1", by_word).unionByName(deleted(none, "chars-1", by_char)))
+    one = docs.filter(F.col("lang") == docs.agg(F.min("lang")).first()[0]).filter(text != "")
+    rollup.commit("5", deleted(one, "words-1", by_word).unionByName(deleted(one, "chars-1", by_char)))
+    rollup.commit("6", inserted(one, "words-1", by_word).unionByName(inserted(one, "chars-1", by_char)))
     rollup.commit("1", inserted(docs, "words-1", by_word))
     return rollup.totals()
 
