@@ -1,7 +1,70 @@
 import math
+import random
 from collections import Counter
+from itertools import combinations
 
 import corpus_pipeline as C
+from linemill.llm import bpe
+
+
+def lines_left(rows):
+    """Texts by id without the stretches of 20 words or more that an earlier document has; emptied ones go."""
+    held, out = set(), {}
+    for i, text, _ in sorted(rows):
+        x = text.split("\n")
+        cuts = [(a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if len(" ".join(x[a:b]).split()) >= 20]
+        gone = {k for a, b in cuts if tuple(x[a:b]) in held for k in range(a, b)}
+        held |= {tuple(x[a:b]) for a, b in cuts}
+        if len(gone) < len(x):
+            out[i] = "\n".join(v for k, v in enumerate(x) if k not in gone)
+    return out
+
+
+def least_of_near_copies(texts):
+    """Ids that are the least of their component, over all pairs."""
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    root = {i: i for i in texts}
+    for _ in texts:
+        for a, b in combinations(texts, 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    return {i for i in texts if root[i] == i}
+
+
+def corpus():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    line = lambda n: " ".join(word() for _ in range(n))
+    p, q = line(22), f"{line(12)}\n{line(11)}"
+    texts = [f"{line(30)}\n{line(30)}" for _ in range(12)]
+    texts += [f"{line(9)}\n{p}\n{line(9)}\n{q}\n{line(9)}", *(f"{line(9)}\n{q}\n{line(9)}\n{p}\n{line(9)}" for _ in range(3))]
+    for near in range(4):  # by changed words, so that no line is shared
+        w = [x.split() for x in texts[near].split("\n")]
+        w[0][0], w[1][-1] = word(), word()
+        texts.append("\n".join(map(" ".join, w)))
+    texts += [texts[5], texts[6]]  # exact copies
+    return [(i, t, f"s{i % 3}") for i, t in enumerate(texts)]
+
+
+def test_stages_and_run_match_brute_force(spark, tmp_path):
+    rows = corpus()
+    toxic = [(100, "you stupid pathetic moron", "s0"), (101, "what a worthless idiot, you stupid clown", "s1")]
+    frame = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows + toxic], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i >= 100)) for i, _, _ in rows + toxic], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = lambda d: {r.doc_id: r.text for r in d.collect()}
+    clean = C.drop_toxic(spark, frame, str(tmp_path))
+    assert texts(clean) == {i: t for i, t, _ in rows}
+    left = lines_left(rows)
+    assert texts(C.drop_repeated_lines(spark, clean, "")) == left and len(left) == len(rows) - 2
+    shortened = spark.createDataFrame([(i, t, rows[i][2]) for i, t in left.items()], "doc_id long, text string, source string")
+    stay = least_of_near_copies(left)
+    assert {r.doc_id for r in C.drop_near_copies(spark, shortened, "").collect()} == stay and len(stay) == len(left) - 4
+    got = C.run(spark, str(tmp_path))
+    back = got.select("doc_id", "source", bpe.decoder(spark)("ids").alias("text"), "n_tokens", "ids").collect()
+    assert {(r.doc_id, r.source, r.text) for r in back} == {(i, rows[i][2], left[i]) for i in stay}
+    assert all(r.n_tokens == len(r.ids) for r in back)
+    assert Counter(r.doc_id for r in back) == Counter(stay)  # near equal sources: nothing is repeated
 
 
 def test_mixing_meets_its_entropy_beside_a_hot_source(spark):
