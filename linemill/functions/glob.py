@@ -8,6 +8,7 @@ atomic groups. ``?`` and classes match one byte other than a slash.
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column
@@ -44,7 +45,7 @@ def _class(pattern: str, at: int) -> tuple[str, int] | None:
 
 def to_regex(glob: str) -> str:
     """The expression that matches a whole path when the glob does."""
-    text = glob.encode().decode("latin-1")
+    text = os.fsencode(glob).decode("latin-1")
     gaps: list[str] = []
     pieces = [""]
     i = 0

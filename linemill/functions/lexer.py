@@ -1,6 +1,12 @@
 """Lines of a file as code, comment or blank, by the language's tokens.
 
-The scanner jumps from token to token with one compiled expression for each
+Two forms give the same counts. ``lines_by_expressions`` is a column expression:
+one regular expression marks comments and strings, others shrink every line to
+what tells its kind, and counting is what is left; no Python runs. Nested comments
+are not regular, so languages that have them go through ``lex_bytes`` in an Arrow
+UDF, which gets no content of other languages. ``lex`` is both together.
+
+The scanner of ``lex_bytes`` jumps from token to token with one compiled expression for each
 state. What lies between is judged as a whole: outside comments and strings,
 anything but space, tab and carriage return is code; inside, every byte makes a
 line non-blank. Code outweighs comment on a line. Line comments are tried before
@@ -129,11 +135,85 @@ def lex_bytes(spec: Spec, text: bytes) -> tuple[int, int, int, int]:
 
 
 LINES = "total long, code long, comments long, blanks long"
+_STRUCT = f"struct<{LINES.replace(' long', ': bigint')}>"
 _KIND = pa.struct([(n.split()[0], pa.int64()) for n in LINES.split(", ")])
 
 
+# Marks inside a text that is being counted: of a comment's begin; its end, and a string's begin; a string's end; a comment's piece; a code piece.
+_MARKS = "\x01\x02\x03\x04\x05"
+
+
+def _quoted(token: str) -> str:
+    """A token's bytes, as characters, in a regular expression for Java."""
+    return "".join(f"\\x{b:02x}" for b in token.encode())
+
+
+def _string(start: str, end: str, many: bool) -> str:
+    s, e = _quoted(start), _quoted(end)
+    if not end:
+        return f"{s}[\\s\\S]*+" if many else f"{s}(?:[^\\\\\\n]|\\\\[^\\n])*+\\\\?+"
+    other = f"[^\\\\{e}{'' if many else '\\n'}]" if len(end.encode()) == 1 else f"(?!{e})[^\\\\{'' if many else '\\n'}]"
+    if many:
+        return f"{s}(?:{other}|\\\\\\n*+[^\\n])*+(?:{e}|\\\\\\n*+\\z|\\z)"
+    return f"{s}(?:{other}|\\\\[^\\n])*+\\\\?+(?:{e})?+"
+
+
+def marking(spec: Spec) -> str | None:
+    """The expression whose first group is a comment and whose second is a string; None without tokens."""
+    longest = lambda pairs: sorted(pairs, key=lambda p: -len(p[0].encode()))
+    comments = [f"{_quoted(t)}[^\\n]*+" for t, _ in longest([(t, "") for t in spec.line if t])]
+    comments += [f"{_quoted(a)}[\\s\\S]*?(?:{_quoted(b) or '(?!)'}|\\z)" for a, b in longest([x for x in spec.block if x[0]])]
+    strings = [_string(a, b, many) for a, b, many in longest([(*q, False) for q in spec.quotes if q[0]] + [(*q, True) for q in spec.multiline if q[0]])]
+    starts = {t.encode()[0] for t in (*spec.line, *(a for a, _ in (*spec.block, *spec.quotes, *spec.multiline))) if t}
+    if not starts:
+        return None
+    first = "".join(f"\\x{b:02x}" for b in sorted(starts))
+    return f"(?=[{first}])(?:({'|'.join(comments) or '(?!)'})|({'|'.join(strings) or '(?!)'}))"
+
+
+def lines_by_expressions(content: Column, language: Column, specs: dict[str, Spec]) -> Column:
+    """The struct ``LINES`` of each content by built-in expressions; for languages without nested comments."""
+    text = F.translate(F.decode(F.coalesce(content, F.lit("").cast("binary")), "ISO-8859-1"), _MARKS, "\x06" * 5)
+    by_marking: dict[str | None, list[str]] = {}
+    for key, spec in specs.items():
+        if not spec.nested:
+            by_marking.setdefault(marking(spec), []).append(key)
+    marked = None
+    for pattern, keys in by_marking.items():
+        shown = text if pattern is None else F.regexp_replace(text, F.lit(pattern), F.lit("\x01$1\x02$2\x03"))
+        marked = F.when(language.isin(keys), shown) if marked is None else marked.when(language.isin(keys), shown)
+    if marked is None:
+        return F.lit(None).cast(_STRUCT)
+    # Inside comments, then inside strings, each piece of a line becomes one mark; \\G goes on where the last piece ended.
+    pieces = F.regexp_replace(marked, F.lit(r"(?:\x01|\G(?!\A))(\n*+)[^\n\x02]++"), F.lit("$1\x04"))
+    pieces = F.regexp_replace(pieces, F.lit(r"(?:\x02|\G(?!\A))(\n*+)[^\n\x03]++"), F.lit("$1\x05"))
+    pieces = F.regexp_replace(pieces, F.lit(r"[^\n \t\r\x01-\x05]++"), F.lit("\x05"))
+    pieces = F.translate(pieces, " \t\r\x01\x02\x03", "")
+
+    def counts(z: Column) -> Column:
+        filled = F.regexp_count(z, F.lit(r"[\x04\x05]++")).cast("long")
+        code = F.regexp_count(z, F.lit(r"\x04*+\x05[\x04\x05]*+")).cast("long")
+        newlines = (F.length(z) - F.length(F.replace(z, F.lit("\n"), F.lit("")))).cast("long")
+        open_end = ((z != "") & ~z.endswith("\n")).cast("long")
+        blank = newlines - filled + open_end
+        return F.struct((filled + blank).alias("total"), code.alias("code"), (filled - code).alias("comments"), blank.alias("blanks"))
+
+    # Bound once: the pieces are the argument of one function, not an expression for each count.
+    return F.when(pieces.isNotNull(), F.transform(F.array(pieces), counts)[0])
+
+
 def lex(content: Column, language: Column, specs: dict[str, Spec]) -> Column:
     """The struct ``LINES`` of each content; zeros for null content, null for an unknown language."""
+    flat = lines_by_expressions(content, language, specs)
+    nested = sorted(k for k, x in specs.items() if x.nested)
+    if not nested:
+        return flat
+    mine = language.isin(nested)
+    return F.when(mine, lines_by_scanner(F.when(mine, content), F.when(mine, language), specs)).otherwise(flat)
+
+
+def lines_by_scanner(content: Column, language: Column, specs: dict[str, Spec]) -> Column:
+    """The struct ``LINES`` of each content by ``lex_bytes``."""
 
     @F.arrow_udf(LINES)
     def lines(contents: pa.Array, languages: pa.Array) -> pa.Array:

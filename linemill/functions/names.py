@@ -27,30 +27,41 @@ def child_path(parent: Column, name: Column) -> Column:
     return F.concat(F.regexp_replace(parent, "(?<=.)/+$", ""), F.when(parent == "/", F.lit("")).otherwise(F.lit("/")), name)
 
 
-def relative_path(path: Column, directory: Column) -> Column:
-    """The path below the directory that holds it."""
-    return F.substring(path, F.length(directory) + 2, F.length(path))
+def relative_path(path: Column, directory: Column | str) -> Column:
+    """The path below the directory that holds it; the whole path below ""."""
+    directory = F.lit(directory) if isinstance(directory, str) else directory
+    return F.when(directory == "", path).otherwise(F.substring(path, F.length(directory) + 2, F.length(path)))
 
 
-def _scaled(value: Column, steps: list[tuple[float, float, str]], rest: tuple[float, str]) -> Column:
-    """The first step whose bound is above the value: divided, two places, unit."""
+# Units, each with the least value that is shown in it; below the first, it is the first.
+COUNTS = [(1.0, ""), (1e3, "K"), (1e6, "M"), (1e9, "B")]
+BYTES = [(1.0, " B"), (2.0**10, " KiB"), (2.0**20, " MiB"), (2.0**30, " GiB"), (2.0**40, " TiB")]
+TIMES = [(1e-6, "ns"), (1e-3, "µs"), (1.0, "ms"), (1e3, "s")]
+
+
+def _scaled(value: Column, units: list[tuple[float, str]]) -> Column:
+    """In the last unit that isn't above the value: divided, two places, unit."""
+    v = value.cast("double")
     out = None
-    for bound, divisor, unit in steps:
-        shown = F.format_string(f"%.2f{unit}", value / F.lit(divisor))
-        out = F.when(value < bound, shown) if out is None else out.when(value < bound, shown)
-    return out.otherwise(F.format_string(f"%.2f{rest[1]}", value / F.lit(rest[0])))
+    for size, unit in reversed(units[1:]):
+        one = F.format_string(f"%.2f{unit}", v / F.lit(size))
+        out = F.when(v >= size, one) if out is None else out.when(v >= size, one)
+    return out.otherwise(F.format_string(f"%.2f{units[0][1]}", v / F.lit(units[0][0])))
 
 
 def format_count(value: Column) -> Column:
-    v = value.cast("double")
-    return _scaled(v, [(1e3, 1.0, ""), (1e6, 1e3, "K"), (1e9, 1e6, "M")], (1e9, "B"))
+    return _scaled(value, COUNTS)
 
 
 def format_bytes(value: Column) -> Column:
-    v = value.cast("double")
-    return _scaled(v, [(2.0**10, 1.0, " B"), (2.0**20, 2.0**10, " KiB"), (2.0**30, 2.0**20, " MiB"), (2.0**40, 2.0**30, " GiB")], (2.0**40, " TiB"))
+    return _scaled(value, BYTES)
 
 
 def format_time(ms: Column) -> Column:
-    v = ms.cast("double")
-    return _scaled(v, [(1e-3, 1e-6, "ns"), (1.0, 1e-3, "µs"), (1e3, 1.0, "ms")], (1e3, "s"))
+    return _scaled(ms, TIMES)
+
+
+def shown(value: float, units: list[tuple[float, str]]) -> str:
+    """``_scaled`` for one number."""
+    size, name = next(((s, n) for s, n in reversed(units) if value >= s), units[0])
+    return f"{value / size:.2f}{name}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +16,25 @@ METRICS = ("files", "lines", "code", "comments", "blanks", "bytes")
 SORT_KEYS = {"files": "files", "file": "files", "lines": "lines", "total": "lines", "code": "code", "comments": "comments", "comment": "comments", "blanks": "blanks", "blank": "blanks"}
 
 
-def file_stats(files: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """files: path, content (null: a file that counts without lines). A row a file of known language."""
+def file_stats(files: DataFrame, registry: Registry | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """files: path, content (null: a file that counts without lines). A row a file of known language. keep: other columns of files that stay."""
     registry = registry or Registry()
     rows = detect(files, registry).withColumn("l", lex(F.col("content"), F.col("language"), registry.specs))
     size = F.coalesce(F.length("content"), F.lit(0)).cast("long")
-    return rows.select("path", "language", size.alias("file_size"), F.col("l.total").alias("total_lines"), F.col("l.code").alias("code_lines"), F.col("l.comments").alias("comment_lines"), F.col("l.blanks").alias("blank_lines"))
+    return rows.select(*keep, "path", "language", size.alias("file_size"), F.col("l.total").alias("total_lines"), F.col("l.code").alias("code_lines"), F.col("l.comments").alias("comment_lines"), F.col("l.blanks").alias("blank_lines"))
+
+
+def per_file(files: DataFrame, function: Callable[[str, bytes | None], dict], schema: str) -> DataFrame:
+    """A row a file of what ``function`` makes of its path and content, as a dict of ``schema``'s columns."""
+    columns = [f.strip().split()[0].strip("`") for f in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [function(p.as_py(), c.as_py()) for p, c in zip(b.column(0), b.column(1), strict=True)]
+            if made:
+                yield pa.RecordBatch.from_pylist([{c: m.get(c) for c in columns} for m in made])
+
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def language_stats(stats: DataFrame, registry: Registry | None = None) -> DataFrame:

@@ -6,6 +6,9 @@ Tokens of the languages are put in place of common words, alike on both sides.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -19,6 +22,7 @@ from linemill.operators.detect import detect
 from linemill.operators.stats import METRICS, file_stats, language_stats, ranked, totals
 from linemill.plans.report import CSV_HEADER
 from linemill.sources.registry import Registry
+from linemill.sources.tree import read_tree
 
 REGISTRY = Registry()
 _PUT = [(" of ", " /* "), (" and ", " */ "), (" that ", " // "), (" in ", " # "), (" to ", " -- "), (", ", ' " '), (" it ", ' """ '), (" on ", " ` "), (" as ", ' \\" '), (" or ", " ' "), (" de ", " <!-- "), (" la ", " --> "), (". ", "\n\n")]
@@ -50,9 +54,16 @@ def _pick_sql(column: str, values: list[str]) -> str:
     return f"([{', '.join(map(_q, values))}])[{column} % {len(values)} + 1]"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose files have fewer row groups than there are cores is dealt out; a larger one stays as it is read."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def corpus(spark, sf: str) -> DataFrame:
     """path, content of documents, pages and conversations as one tree."""
-    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    columns = {"documents": ("doc_id", "source", "text"), "pages": ("page_id", "html"), "conversations": ("conv_id", "turn", "text")}
+    read = lambda t: spread(spark.read.parquet(f"{sf}/{t}.parquet").select(*columns[t]))
     docs = read("documents").select(F.concat_ws("/", "source", F.concat("doc_id", F.lit("."), _pick("doc_id", _EXTENSIONS))).alias("path"), _put(F.col("text")).alias("text"))
     pages = read("pages").select(F.concat(F.lit("pages/"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("text"))
     talks = read("conversations").select(F.concat("conv_id", F.lit("/"), "turn", F.lit(".md")).alias("path"), "text")
@@ -135,7 +146,8 @@ def _ranked_sql(sort: str, top: int = 0) -> str:
 
 
 def _lexed(spark, sf: str, key: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.encode(_put(F.col("text")), "UTF-8").alias("content"))
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    docs = docs.select(F.col("doc_id").cast("string").alias("path"), F.encode(_put(F.col("text")), "UTF-8").alias("content"))
     out = docs.select("path", lex(F.col("content"), F.lit(key), REGISTRY.specs).alias("l"))
     return out.select("path", F.col("l.total").alias("total_lines"), F.col("l.code").alias("code_lines"), F.col("l.comments").alias("comment_lines"), F.col("l.blanks").alias("blank_lines"))
 
@@ -165,6 +177,110 @@ SELECT page_id, base, CASE WHEN contains(base, '.') AND NOT ends_with(base, '.')
 FROM (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages)"""
 
 
+def every_extension(spark, sf: str) -> DataFrame:
+    """Every extension and file name of the registry, behind every document's number, in its own and in other letters."""
+    given = sorted(REGISTRY.by_extension) + sorted(REGISTRY.by_filename) + ["", "unknown"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").filter(F.col("doc_id") < len(given))  # one document an entry of the registry
+    word = _pick("doc_id", given)
+    path = F.when(F.col("doc_id") < len(REGISTRY.by_extension), F.concat(F.lit("a.b/"), "doc_id", F.lit("."), F.initcap(word))).otherwise(F.concat(F.lit("d/"), F.upper(word)))
+    return detect(docs.select("doc_id", path.alias("path")), REGISTRY, keep_unknown=True).select("doc_id", "path", F.coalesce("language", F.lit("Unknown")).alias("language"))
+
+
+def _every_extension_sql() -> str:
+    given = [(f"'a.b/' || {{i}} || '.' || {_q(e.capitalize())}", k) for e, k in sorted(REGISTRY.by_extension.items())]
+    given += [(_q(f"d/{e.upper()}"), k) for e, k in sorted(REGISTRY.by_filename.items())] + [("'d/'", "Unknown"), ("'d/UNKNOWN'", "Unknown")]
+    rows = ", ".join(f"({i}, {path.format(i=i)}, {_q(k)})" for i, (path, k) in enumerate(given))
+    return f"SELECT d.doc_id, path, language FROM documents d JOIN (VALUES {rows}) AS v(doc_id, path, language) USING (doc_id)"
+
+
+def path_parts(spark, sf: str) -> DataFrame:
+    """A path from its parent and name, and back to what is below the parent."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    parent = F.when(F.col("page_id") % 7 == 0, "/").otherwise(F.concat("url", F.when(F.col("page_id") % 3 == 0, F.lit("/")).otherwise(F.lit(""))))
+    child = names.child_path(parent, F.col("page_id").cast("string"))
+    bare = F.when(parent == "/", "").otherwise(F.regexp_replace(parent, "/+$", ""))
+    return pages.select("page_id", child.alias("child"), names.relative_path(child, bare).alias("below"))
+
+
+_PATH_PARTS = """
+SELECT page_id, child, CASE WHEN page_id % 7 = 0 THEN child ELSE CAST(page_id AS VARCHAR) END AS below
+FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '/' || page_id ELSE regexp_replace(url, '/+$', '') || '/' || page_id END AS child FROM pages)"""
+
+
+# A tree of documents on disk: a hidden directory, ignored files and directories, unknown extensions, a root that is a file, and a root given twice.
+_TREE_RULES = {"": "*1.py\n!*21.py\nsrc3/\n", "en": "!*31.py\n/src4/*.c\n"}
+_TREE_EXTENSIONS = ["py", "c", "zzz", "md"]
+
+
+def _written(batches):
+    for b in batches:
+        for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(content)
+        yield b.select([0])
+
+
+def _tree_on_disk(spark, sf: str) -> str:
+    """Documents as files, in the folder that the session shares; its path."""
+    named = (spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")).removeprefix("file://")
+    if not named and not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = f"{named or tempfile.gettempdir()}/linemill-tree-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{root}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source", "text")
+    lang = F.when(F.col("lang") == "fr", ".fr").otherwise(F.col("lang"))
+    path = F.concat_ws("/", F.lit(root), lang, "source", F.concat("doc_id", F.lit("."), _pick("doc_id", _TREE_EXTENSIONS)))
+    files = docs.select(path.alias("path"), F.encode(_put(F.col("text")), "UTF-8").alias("content"))
+    files.mapInArrow(_written, "path string").agg(F.count("path")).collect()
+    for directory, rules in _TREE_RULES.items():
+        os.makedirs(f"{root}/{directory}", exist_ok=True)
+        with open(f"{root}/{directory}/.gitignore", "w", encoding="utf-8") as f:
+            f.write(rules)
+    with open(f"{root}/alone.py", "w", encoding="utf-8") as f:
+        f.write("# alone\nx = 1\n")
+    return root
+
+
+def tree_files(spark, sf: str) -> DataFrame:
+    """The files that a walk visits, with their languages and lines."""
+    root = _tree_on_disk(spark, sf)
+    found = read_tree(spark, [root, f"{root}/alone.py", f"{root}/.fr", f"{root}/none.bin"])
+    stats = file_stats(found.select(F.concat("rel", F.when(F.col("is_explicit"), "!").otherwise(F.lit(""))).alias("shown"), "path", "content"), REGISTRY, keep=("shown",))
+    return stats.select(F.col("shown").alias("rel"), "language", "file_size", "total_lines", "code_lines", "comment_lines", "blank_lines")
+
+
+_ON_DISK = f"""SELECT doc_id, lang, source, {_pick_sql('doc_id', _TREE_EXTENSIONS)} AS ext, {_put_sql('text')} AS text FROM documents"""
+_VISITED = f"""
+SELECT CASE WHEN lang = 'fr' THEN '' ELSE lang || '/' END || source || '/' || doc_id || '.' || ext AS rel, CAST(doc_id AS VARCHAR) AS path, ext, text FROM ({_ON_DISK})
+WHERE ext <> 'zzz' AND (lang = 'fr' OR (source <> 'src3'
+  AND NOT (ext = 'py' AND doc_id % 10 = 1 AND NOT doc_id % 100 = 21 AND NOT (lang = 'en' AND doc_id % 100 = 31))
+  AND NOT (lang = 'en' AND source = 'src4' AND ext = 'c')))"""
+_TREE_LANGUAGES = [("py", "Python"), ("c", "C"), ("md", "Markdown")]
+_COUNTS = ("total_lines", "code_lines", "comment_lines", "blank_lines")
+_TREE_FILES = " UNION ALL ".join(
+    f"SELECT f.rel, '{key}' AS language, CAST(strlen(f.text) AS BIGINT) AS file_size, {', '.join(f'coalesce(s.{c}, 0) AS {c}' for c in _COUNTS)} "
+    f"FROM (SELECT * FROM ({_VISITED}) WHERE ext = '{ext}') f LEFT JOIN ({lexer_sql(f'SELECT path, text FROM ({_VISITED}) WHERE ext = {_q(ext)}', REGISTRY.specs[key])}) s USING (path)"
+    for ext, key in _TREE_LANGUAGES
+) + " UNION ALL SELECT rel, 'Python', 14, 2, 1, 1, 0 FROM (VALUES ('alone.py'), ('alone.py!')) AS v(rel)"
+
+
+def tree_languages(spark, sf: str) -> DataFrame:
+    root = _tree_on_disk(spark, sf)
+    return language_stats(file_stats(read_tree(spark, [root, root, f"{root}/alone.py"], hidden=True, gitignore=False), REGISTRY), REGISTRY).select(*_SHOWN)
+
+
+_TREE_ALL = " UNION ALL ".join(
+    f"SELECT '{key}' AS language, f.path, CAST(strlen(f.text) AS BIGINT) AS file_size, {', '.join(f'coalesce(s.{c}, 0) AS {c}' for c in _COUNTS)} "
+    f"FROM (SELECT CAST(doc_id AS VARCHAR) AS path, text FROM ({_ON_DISK}) WHERE ext = '{ext}') f LEFT JOIN ({lexer_sql(f'SELECT CAST(doc_id AS VARCHAR) AS path, text FROM ({_ON_DISK}) WHERE ext = {_q(ext)}', REGISTRY.specs[key])}) s USING (path)"
+    for ext, key in _TREE_LANGUAGES
+)
+_TREE_TOTALS = f"""SELECT language, name, count(*) AS files, {_SUMS} FROM (
+  SELECT * FROM ({_TREE_ALL}) UNION ALL SELECT * FROM ({_TREE_ALL}) UNION ALL SELECT 'Python', '', 14, 2, 1, 1, 0 FROM range(3)
+) JOIN {_ORDINALS} USING (language) GROUP BY language, name"""
+
+
 def grand_totals(spark, sf: str) -> DataFrame:
     return totals(ranked(language_totals(spark, sf), "lines", 3))
 
@@ -261,6 +377,10 @@ def line_total(spark, sf: str) -> DataFrame:
 QUERIES = {
     "detect_language": detected,
     "basename_ext": name_parts,
+    "every_extension": every_extension,
+    "path_parts": path_parts,
+    "tree_files": tree_files,
+    "tree_languages": tree_languages,
     "line_total": line_total,
     "lex_nested_comment": nested_comments,
     **{name: partial(_lexed, key=key) for name, key in _LEXED.items()},
@@ -281,6 +401,10 @@ QUERIES = {
 SQL = {
     "detect_language": f"SELECT doc_id, source || '/' || {_pick_sql('doc_id', _NAMES)} AS path, {_pick_sql('doc_id', _DETECTED)} AS language FROM documents",
     "basename_ext": _NAME_PARTS,
+    "every_extension": _every_extension_sql(),
+    "path_parts": _PATH_PARTS,
+    "tree_files": _TREE_FILES,
+    "tree_languages": _TREE_TOTALS,
     "line_total": f"SELECT doc_id, CAST(length(t) - length(replace(t, chr(10), '')) + CAST(regexp_matches(t, '[^ \\t\\r\\n][^\\n]*\\z') AS INT) AS BIGINT) AS lines FROM (SELECT doc_id, {_put_sql('text')} AS t FROM documents)",
     **{name: _lexed_sql(key) for name, key in _LEXED.items()},
     "file_stats": _FILE_STATS,

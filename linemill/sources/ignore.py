@@ -1,7 +1,12 @@
-"""Ignore files: from their text to rules."""
+"""Ignore files: from their text to rules.
+
+Texts and paths that aren't UTF-8 come as the operating system's functions give
+them (``os.fsdecode``); matching is on their bytes.
+"""
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass
 
@@ -21,7 +26,7 @@ class Rule:
         if self.dir_only and not is_dir:
             return False
         text = relative if self.anchored else relative.rpartition("/")[2]
-        return bool(for_python(self.regex).match(text.encode().decode("latin-1")))
+        return bool(for_python(self.regex).match(os.fsencode(text).decode("latin-1")))
 
 
 def _unpadded(line: str) -> str:

@@ -29,16 +29,34 @@ def test_comments_and_empty_lines():
     assert len(ignore.parse("# this is a comment\n\n*.log\r\n\n  \n!\n/\n")) == 1
 
 
-def test_joins_agree_with_rules(spark):
-    for rules in {c[0] for c in CASES}:
+@pytest.mark.parametrize("literal", [200, 0])
+def test_tables_agree_with_rules(spark, monkeypatch, literal):
+    monkeypatch.setattr(pruning, "LITERAL", literal)
+    for rules in ("*.log\n!important.log", "vendor/**", "/**a*b", "?", "keep\\ me\\ \nunescaped  "):
         paths = sorted({c[1] for c in CASES if c[0] == rules and not c[2]})
         frame = spark.createDataFrame([(p,) for p in paths], "rel string")
-        kept = {r.rel for r in pruning.prune(frame, pruning.rule_rows(spark, {"": rules})).collect()} if rules in ("*.log\n!important.log", "vendor/**", "/**a*b", "?", "keep\\ me\\ \nunescaped  ") else None
-        if kept is not None:
-            assert kept == {p for p in paths if not ignore.ignored([("", ignore.parse(rules))], "/" + p, False)}
+        kept = {r.rel for r in pruning.prune(frame, pruning.rule_rows(spark, {"": rules})).collect()}
+        assert kept == {p for p in paths if not ignore.ignored([("", ignore.parse(rules))], "/" + p, False)}
 
 
-def test_child_files_override_and_pruned_directories_stay(spark):
+def test_plans_of_few_and_many_rules(spark, monkeypatch):
+    frame = spark.range(10).selectExpr("concat('a/', id, '.c') as rel")
+    rules = pruning.rule_rows(spark, {"": "*1.c\n", "a": "!1.c\n"})
+    plan = lambda: pruning.prune(frame, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan() and "Join" not in plan()
+    monkeypatch.setattr(pruning, "LITERAL", 0)
+    many = plan()
+    assert many.count("Scan ExistingRDD") == 1 and "BroadcastHashJoin [dir" in many.replace("#", " #").replace("[dir ", "[dir") and "SortMergeJoin [dir" not in many
+
+
+def test_rule_lines_longer_than_a_path(spark):
+    name = "x" * 5000
+    assert ignore.ignored([(".", ignore.parse(f"{name}.c\n"))], f"./{name}.c", False) and len(ignore.parse(f"{name}\n")) == 1
+
+
+@pytest.mark.parametrize("literal", [200, 0])
+def test_child_files_override_and_pruned_directories_stay(spark, monkeypatch, literal):
+    monkeypatch.setattr(pruning, "LITERAL", literal)
     rng = random.Random(1)
     files = sorted({"/".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) + rng.choice([".tmp", ".c"]) for _ in range(60)})
     given = {"": "*.tmp\nb/\n", "a": "!a.tmp\n!c/*.tmp\n", "b": "!*\n"}
