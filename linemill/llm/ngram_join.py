@@ -12,8 +12,11 @@
    classes hold are kept.
 3. Within a shingle, classes are first compared with one pivot, which joins a
    large group of near copies by one pair a member. Pairs inside one component
-   need no further check; pairs across components are then all generated. So no
-   link between different texts that would join two components is lost, and
+   need no further check; pairs across components are then all looked for. Under
+   shingles of few classes that means all their pairs. In larger groups a shared
+   shingle says little: there the members' deviations from a common centre are
+   joined instead (``deviations``), whose keys are rare inside the group too. So
+   no link between different texts that would join two components is lost, and
    dense groups never become all their pairs.
 4. Length, positional and suffix filters come before the sets are fetched; a
    pair that is left is verified once on the whole sets.
@@ -21,9 +24,12 @@
 64-bit hashes stand for shingles and for sets: two of 10**9 sets share a hash
 with a chance of about 3 %; (hash, size) is compared throughout.
 
-Nulls and empty texts, or texts without words, have an empty set and no link.
-Rows with equal ids each get a row; a null id takes part but is never a
-component's smallest id unless it has no other.
+Cases. Nulls and empty texts, or texts without words, have an empty set and no
+link. Rows with equal ids each get a row; a null id takes part but is never a
+component's smallest id unless it has no other. Repeated rows are copies of one
+class. Ties of rarity go by hash, ties of pivots too; they change no result. Very
+long texts are hashed whole. An empty table gives an empty table. Columns other
+than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -32,16 +38,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linemill.llm import deviations as D
 from linemill.llm import shingles as S
 from linemill.llm.batches import bounded
 from linemill.llm.components import components
 from linemill.llm.scratch import Scratch
+from linemill.llm.skew import counted, frequent, spread_join
 
 #: Bins of the suffix filter: how many shingles of a set fall into each range of hashes.
 BINS = 16
+#: Classes under a key of deviations up to which all pairs are compared, as a multiple of ``narrow``: most are told apart without their sets.
+KEYS = 8
+#: Times that large groups are made narrower before all pairs under their keys are formed.
+LEVELS = 8
 _SIGNED = np.uint64(1 << 63)
 
 
@@ -235,8 +247,8 @@ def _verify(percent: int):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, k: int, percent: int, bits: int, hot: int, id_col: str, text_col: str):
-        self.spark, self.k, self.percent, self.bits, self.hot = docs.sparkSession, k, percent, bits, hot
+    def __init__(self, docs: DataFrame, k: int, percent: int, bits: int, hot: int, narrow: int, id_col: str, text_col: str):
+        self.spark, self.k, self.percent, self.bits, self.hot, self.narrow = docs.sparkSession, k, percent, bits, hot, narrow
         bounded(self.spark)
         self.scratch = Scratch(self.spark, "ngram_join")
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -249,9 +261,9 @@ class _Join:
 
     def postings(self) -> DataFrame:
         """shingle, node, n, pos, end, and held: how many of the node's prefix shingles others hold."""
-        sketch = self.spark.sparkContext.broadcast(_sketch(self.one, self.bits))
+        self.sketch = self.spark.sparkContext.broadcast(_sketch(self.one, self.bits))
         rows = self.docs.select("text").mapInArrow(
-            _prefix_pass(self.k, self.percent, self.bits, sketch, self.hot), "shingle long, salt int, node long, n int, pos int, end int"
+            _prefix_pass(self.k, self.percent, self.bits, self.sketch, self.hot), "shingle long, salt int, node long, n int, pos int, end int"
         )
         rows = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "node")
         rows = self.scratch.keep(rows.mapInArrow(_shared, "shingle long, node long, n int, pos int, end int"), "postings")
@@ -260,35 +272,33 @@ class _Join:
         self.scratch.drop(rows)
         return both
 
-    def _pairs(self, rows: DataFrame, other: DataFrame) -> DataFrame:
-        """Rows of one shingle in two components that pass the filters which a single shared shingle allows."""
-        other = other.select("shingle", *(F.col(x).alias(f"p{x}") for x in ("node", "n", "pos", "end", "held", "comp")))
+    def _allowed(self) -> str:
+        """What one shared shingle allows, of rows and p-rows."""
         length = f"100L * least(n, pn) >= {self.percent}L * greatest(n, pn)"
         place = f"1 + least(pos, ppos) + least(n - 1 - pos, pn - 1 - ppos) >= {_needed(self.percent)}"
         prefix = f"{_most(self.percent, 'least(held, pheld)')} >= {_needed(self.percent)}"
-        return rows.join(other, "shingle").filter(f"{length} and {place} and {prefix}")
+        return f"comp != pcomp and {length} and {place} and {prefix}"
 
     def _candidates(self, pairs: DataFrame) -> DataFrame:
-        """One row a pair that the filters pass."""
+        """One row a pair that the filters pass. The p-side may hold very many pairs of one class."""
         need = _needed(self.percent)
         each = (
             pairs.groupBy("node", "n", "end", "pnode", "pn", "pend")
             .agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("last"), F.max("ppos").alias("plast"))
             .filter(f"c + least(n - 1 - last, pn - 1 - plast) >= {need} and {_most(self.percent, 'c')} >= {need}")
         )
-        sig = self.classes.select("node", "n", "sig", "rep")
-        psig = sig.toDF("pnode", "pn", "psig", "prep")
+        each = self.scratch.keep(each.select("node", "n", "pnode", "pn"), "met")
+        self.often = self.scratch.keep(frequent(counted(each, ["pnode", "pn"]), ["pnode", "pn"], self.scratch.rows(each)), "often")
+        sig = self.classes.select("node", "n", "sig")
         apart = F.expr("aggregate(zip_with(sig, psig, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)")
-        return (
-            each.join(sig, ["node", "n"])
-            .join(psig, ["pnode", "pn"])
-            .filter(apart <= F.expr(f"n + pn - 2 * {need}"))
-            .select("node", "n", "rep", "pnode", "pn", "prep")
-        )
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        pairs = self.scratch.keep(self._candidates(pairs), "candidates")
-        wanted = pairs.select("node", "n", "rep").unionByName(pairs.select(F.col("pnode").alias("node"), F.col("pn").alias("n"), F.col("prep").alias("rep"))).distinct()
+        both = spread_join(each.join(sig, ["node", "n"]), sig.toDF("pnode", "pn", "psig"), ["pnode", "pn"], "node", self.often)
+        left = self.scratch.keep(both.filter(apart <= F.expr(f"n + pn - 2 * {need}")).select("node", "n", "pnode", "pn"), "candidates")
+        self.scratch.drop(each)
+        return left
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, n, members) of the classes in ``nodes`` (node, n; repetitions are allowed), read from one document of each."""
+        wanted = nodes.distinct().join(self.classes.select("node", "n", "rep"), ["node", "n"])
         # A filter of fixed size spares most texts; the join behind it is exact.
         bits, k = 22, self.k
         slots = wanted.select(F.expr(f"pmod(xxhash64(rep), {1 << bits})").alias("s"))
@@ -298,7 +308,7 @@ class _Join:
             table[w] = m
         seen = self.spark.sparkContext.broadcast(table)
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 slot = b.column(0).to_numpy()
                 b = b.filter(pa.array((seen.value[slot >> 5] >> (slot & 31) & 1).astype(bool)))
@@ -307,68 +317,119 @@ class _Join:
                     part = got[i : i + 2000]
                     yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in part], pa.int64()), pa.array([g[1] for g in part], pa.int32()), pa.array([g[2] for g in part], pa.binary())], ["node", "n", "members"])
 
-        own = self.docs.select(F.expr(f"pmod(xxhash64(doc_id), {1 << bits})").alias("slot"), "text", "doc_id")
+        own = self.docs.select(F.expr(f"pmod(xxhash64(doc_id), {1 << bits})").alias("slot"), "text")
         # Of a class, the document that stands for it is read; where ids repeat, a row of them.
-        # Dealt once by (node, n): both joins below read that exchange.
-        found = own.select("slot", "text").mapInArrow(sets, "node long, n int, members binary").repartition("node", "n")
-        found = found.join(wanted.select("node", "n").hint("shuffle_hash"), ["node", "n"], "left_semi").groupBy("node", "n").agg(F.max("members").alias("members"))
-        links = (
-            pairs.join(found, ["node", "n"])
-            .join(found.toDF("pnode", "pn", "pmembers"), ["pnode", "pn"])
-            .filter(_verify(self.percent)("members", "pmembers"))
-            .select(F.col("node").alias("a"), F.col("pnode").alias("b"))
+        read = own.mapInArrow(found, "node long, n int, members binary").repartition("node", "n")
+        read = read.join(wanted.select("node", "n").hint("shuffle_hash"), ["node", "n"], "left_semi").groupBy("node", "n").agg(F.max("members").alias("members"))
+        return self.scratch.keep(read, "members")
+
+    def verified(self, pairs: DataFrame, sets: DataFrame, often: DataFrame | None = None) -> DataFrame:
+        """(a, b) of the pairs whose whole sets are alike enough. often: classes that very many pairs have on the p-side."""
+        own, other = pairs.join(sets, ["node", "n"]), sets.toDF("pnode", "pn", "pmembers")
+        both = own.join(other, ["pnode", "pn"]) if often is None else spread_join(own, other, ["pnode", "pn"], "node", often)
+        return self.scratch.keep(both.filter(_verify(self.percent)("members", "pmembers")).select(F.col("node").alias("a"), F.col("pnode").alias("b")), "links")
+
+    def _linked(self, *found: DataFrame) -> None:
+        """Take more links, and unite what they connect."""
+        for x in found:
+            self.links = x if self.links is None else self.links.unionByName(x)
+        if any(self.scratch.rows(x) for x in found):
+            self.roots = self.scratch.keep(components(self.links, self.scratch), "roots")
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the components as they are known by now."""
+        if self.roots is None:
+            return rows.withColumn("comp", F.col("node"))
+        return rows.drop("comp").join(self.roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+    def _open(self, posts: DataFrame) -> DataFrame:
+        """Postings of shingles that lie in two components, beside m, the postings of the shingle, and its pivot.
+
+        The pivot is the class of which others hold most: of edited copies the one
+        least edited. It comes first in one order of all classes, so that a pair is
+        met in one direction.
+        """
+        now = self._placed(posts).withColumn("w", F.expr(f"-held / {_prefix(self.percent, 'n')}"))
+        names = ("node", "n", "pos", "end", "held", "comp")
+        stats = now.groupBy("shingle").agg(
+            F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("w", F.xxhash64("node").alias("h"), *names)).alias("p")
         )
-        links = self.scratch.keep(links, "links")
-        self.scratch.drop(pairs)
-        return links
+        stats = stats.filter("lo != hi").select("shingle", "m", *(F.col(f"p.{x}").alias(f"p{x}") for x in names))
+        return self.scratch.keep(spread_join(now, stats, ["shingle"], "node", frequent(stats, ["shingle"], self.scratch.rows(posts))), "open")
 
     def run(self, stars: int) -> DataFrame:
+        self.links = self.roots = None
         posts = self.postings()
-        links, roots, now = None, None, posts.withColumn("comp", F.col("node"))
-        for turn in range(stars + 1):
-            # Shingles that still lie in two components.
-            spread = now.select("shingle", "comp").distinct()
-            spread = self.scratch.keep(spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "spread")
-            if spread.isEmpty():
-                break
-            open_rows = now.join(spread.select("shingle"), "shingle", "left_semi")
-            last = turn == stars
-            if last:
-                pairs = self._pairs(open_rows, open_rows).filter("comp < pcomp")
-            else:
-                # The pivot is the class of which others hold most: of edited copies the one least edited.
-                order = F.struct(F.expr(f"-held / {_prefix(self.percent, 'n')}").alias("o"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "end", "held", "comp")
-                pivot = open_rows.groupBy("shingle").agg(F.min(order).alias("p")).select("shingle", "p.*")
-                pairs = self._pairs(open_rows, pivot).filter("comp != pcomp")
-            # Least node first, so that each pair is met in one direction.
-            names = ("node", "n", "pos", "end")
-            pairs = pairs.select(*(F.expr(f"if(node > pnode, p{x}, {x})").alias(x) for x in names), *(F.expr(f"if(node > pnode, {x}, p{x})").alias(f"p{x}") for x in names))
-            found = self.verified(pairs)
-            links = found if links is None else links.unionByName(found)
-            roots = components(links, self.scratch)
-            self.scratch.drop(spread)
-            if last:
+        rows = self._open(posts)
+        for _ in range(stars):
+            if not self.scratch.rows(rows):
                 break
-            now = posts.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+            pairs = self._candidates(rows.filter(self._allowed()))
+            sets = self.sets(_sides(pairs))
+            self._linked(self.verified(pairs, sets, self.often))
+            self.scratch.drop(pairs, sets, rows)
+            rows = self._open(posts)
+        if self.scratch.rows(rows):
+            self._rest(rows)
         # Nodes to the smallest id of their component.
-        if roots is None:
+        if self.roots is None:
             least = self.classes.select("node", "n", F.col("rep").alias("component_id"))
         else:
-            placed = self.classes.join(roots, "node", "left").select("node", "n", "rep", F.coalesce("root", "node").alias("root"))
+            placed = self.classes.join(self.roots, "node", "left").select("node", "n", "rep", F.coalesce("root", "node").alias("root"))
             least = placed.join(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "n", "component_id")
         return self.rows.join(least, ["node", "n"], "left").select(
             "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "doc_id").alias("component_id"), F.col("node").alias("class_key")
         )
 
+    def _rest(self, rows: DataFrame) -> None:
+        """Every pair across components: under shingles of up to ``narrow`` classes at once, under others by deviations."""
+        few, many = rows.filter(F.col("m") <= self.narrow), rows.filter(F.col("m") > self.narrow)
+        names = ("node", "n", "pos", "end")
+        own = few.select("shingle", *names, "held", "comp")
+        other = own.toDF("shingle", *(f"p{x}" for x in (*names, "held", "comp")))
+        pairs = self._candidates(own.join(other, "shingle").filter(f"node < pnode and {self._allowed()}"))
+        groups = self.scratch.keep(many.select(F.col("pnode").alias("g"), "node", "n", "comp").distinct(), "groups")
+        sets = self.sets(_sides(pairs).unionByName(groups.select("node", "n")))
+        found = [self.verified(pairs, sets)]
+        for level in range(1, LEVELS + 1):
+            if not self.scratch.rows(groups):
+                break
+            more, groups = self._narrower(groups, sets, last=level == LEVELS)
+            self._linked(*found, *more)
+            found = []
+            if self.scratch.rows(groups):
+                groups = self.scratch.keep(self._placed(groups), "groups")
+        if found:
+            self._linked(*found)
+
+    def _narrower(self, groups: DataFrame, sets: DataFrame, last: bool) -> tuple[list[DataFrame], DataFrame]:
+        """Links of what lies in ``groups`` (g, node, n, comp), and the larger groups under keys, whose pairs are not among them."""
+        sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("g", "m")
+        rows = spread_join(groups, sizes, ["g"], "node", frequent(sizes, ["g"], self.scratch.rows(groups)))
+        own = self.scratch.keep(D.deviations(rows, sets, self.percent, self.bits, self.sketch), "deviations")
+        near = self.scratch.keep(D.linked_by_centre(own), "links")
+        keys = self.scratch.keep(D.keys(own), "keys")
+        rows = self.scratch.keep(D.open_keys(keys, self.scratch.rows(keys)), "keys")
+        pairs = D.pairs(rows if last else rows.filter(F.col("m") <= KEYS * self.narrow), self.percent).distinct()
+        links = self.verified(self.scratch.keep(pairs, "candidates"), sets)
+        left = self.scratch.keep(rows.filter("false" if last else f"m > {KEYS * self.narrow}").select(F.col("key").alias("g"), "node", "n").distinct(), "groups")
+        self.scratch.drop(own, keys, rows, groups)
+        return [near, links], left
+
+
+def _sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select("node", "n").unionByName(pairs.select(F.col("pnode").alias("node"), F.col("pn").alias("n")))
+
 
 def ngram_components(
-    docs: DataFrame, *, k: int = 5, percent: int = 80, sketch_bits: int = 20, hot: int = 1 << 16, stars: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, k: int = 5, percent: int = 80, sketch_bits: int = 20, hot: int = 1 << 16, stars: int = 1, narrow: int = 32, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, class_key (equal for equal sets).
 
     k, percent: words a shingle, and the least Jaccard in hundredths. sketch_bits:
     2**sketch_bits counters of 4 bytes order the shingles. hot: rows of a
     shingle from which they are dealt to several tasks. stars: rounds of pivots
-    at most before all pairs across components are generated.
+    at most. narrow: classes under a shingle or key up to which all their pairs are
+    formed; larger groups are split by their members' deviations first.
     """
-    return _Join(docs, k, percent, sketch_bits, hot, id_col, text_col).run(stars)
+    return _Join(docs, k, percent, sketch_bits, hot, narrow, id_col, text_col).run(stars)

@@ -40,8 +40,8 @@ def near(rng, words, edits):
     return w
 
 
-@pytest.mark.parametrize(("k", "percent", "hot", "stars"), [(4, 85, 1 << 16, 4), (5, 80, 1 << 16, 4), (4, 85, 3, 2), (3, 70, 5, 1), (4, 85, 7, 0)])
-def test_components_match_brute_force(spark, k, percent, hot, stars):
+@pytest.mark.parametrize(("k", "percent", "hot", "stars", "narrow"), [(4, 85, 1 << 16, 1, 32), (5, 80, 1 << 16, 3, 2), (4, 85, 3, 1, 1), (3, 70, 5, 1, 3), (4, 85, 7, 0, 4)])
+def test_components_match_brute_force(spark, k, percent, hot, stars, narrow):
     rng = random.Random(k * percent + hot)
     rows, base = [], [[rng.choice("abcdefghijklmnop") * rng.randrange(1, 5) for _ in range(rng.randrange(3, 120))] for _ in range(25)]
     for b in base:
@@ -56,15 +56,16 @@ def test_components_match_brute_force(spark, k, percent, hot, stars):
     docs = [(i, t) for i, t in zip(ids, rows, strict=True)]
     docs += docs[:3] + [(None, rows[0]), (None, None)]
     frame = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "'x' as n_shingles", "1 as node", "2 as n")
-    got = ngram_components(frame.repartition(3), k=k, percent=percent, hot=hot, stars=stars, sketch_bits=8).collect()
+    got = ngram_components(frame.repartition(3), k=k, percent=percent, hot=hot, stars=stars, narrow=narrow, sketch_bits=8).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(docs, k, percent)
 
 
-def test_dense_group_of_near_copies(spark):
+@pytest.mark.parametrize(("edits", "size", "narrow"), [([0, 1, 2, 3, 4], 150, 4), ([3], 200, 16), ([2, 3, 5, 8], 200, 8), ([1, 9, 10], 120, 2)])
+def test_dense_group_of_near_copies(spark, edits, size, narrow):
     rng = random.Random(5)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
-    docs = [(i, " ".join(near(rng, base, rng.choice([0, 1, 2, 3, 4])))) for i in range(250)]
-    got = ngram_components(spark.createDataFrame(docs, SCHEMA), k=4, percent=85, hot=40).collect()
+    base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    docs = [(i, " ".join(near(rng, base, rng.choice(edits)))) for i in range(200)]
+    got = ngram_components(spark.createDataFrame(docs, SCHEMA), k=4, percent=85, hot=40, narrow=narrow).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(docs, 4, 85))
 
 
