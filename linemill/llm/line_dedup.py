@@ -1,29 +1,38 @@
-"""Line dedup by the blocks that documents share, as pairwise alignment finds them.
-
-A line (text between newlines) stands for itself by its hash, without white
-space (0x20, 0x09-0x0D) at its end, so that copies with other line ends are met.
-Words are runs of characters other than white space; in scripts that are written
-without spaces (Han, kana, Thai, Lao, Burmese, Khmer) each character counts as
-one. A block is a
-stretch of consecutive lines that two documents hold, of ``min_words`` words or
-more together. Every block goes from the later of the two, whichever earlier
-document it is and in whatever order and number the blocks stand in either:
-what alignments of a document with all earlier ones can find, repeated until no
-block is left. Shorter stretches stay: stock lines of a few words are no copied
-passage.
-
-Blocks are met through their shortest parts: for each line, the shortest run of
-``min_words`` words that starts there and the one that ends there. Every line of
-a block lies in such a run inside it, so a line goes if and only if one of the
-runs over it has an earlier holder. The least holder of a run tells that, so no
-two documents need to be paired, and work grows with lines, however many hold
-a run.
-
-"Later" is by (id, text hash). Rows with equal ids and texts are one document
-and are treated alike. Null and empty texts have no lines to share and stay as
-they are (null becomes empty). Blank lines have no words; they go with the block
-that they stand in or next to in both documents. What one document repeats
-within itself stays unless an earlier one holds it; then each place goes.
+"""Line dedup: documents that share rare line hashes are aligned, and aligned common blocks go from the later one.
+
+1. Keys. A line (text between newlines) stands for itself by its hash, without
+   white space (0x20, 0x09-0x0D) at its end. A line of ``min_words`` words is a
+   key; a shorter one is rare only together with its neighbours: the key is the
+   hash of the shortest run of ``min_words`` words that starts there, and of the
+   one that ends there. Words are runs of characters other than white space; in
+   scripts that are written without spaces (Han, kana, Thai, Lao, Burmese, Khmer)
+   each character counts as one.
+2. Pairs. How many documents hold a key tells how rare it is. One that a single
+   document holds pairs nothing; any other pairs each later holder with the
+   first. Rows grow with lines, never with pairs of holders; rows of a frequent
+   key are dealt to many tasks.
+3. Alignment. A document is aligned with each earlier one that it is paired with,
+   by patience diff over the keys that pair them, those with the rarest keys
+   first. Lines under aligned keys form the common blocks, which go from the
+   later document. What stands in another order or more often than in the earlier
+   one is left over by an alignment and is aligned again, until nothing is left.
+
+So a line goes if and only if it lies in a stretch of consecutive lines of
+``min_words`` words or more that any earlier document holds too: every line of
+such a stretch lies under a key inside it, and every key has a first holder.
+Shorter stretches stay (stock lines of a few words are no copied passage);
+``min_words=1`` takes every line with a word that an earlier document has.
+
+Cases. "Later" is by (id, text hash); null ids are least. Repeated rows (equal
+ids and texts) are one document and are treated alike, so none of them loses
+lines to the other; different texts under one id are two documents. Ties of
+rarity go by the number of keys and change no result. Null and empty texts have
+no words and stay as they are (null becomes empty). Blank lines have no words;
+they go with the block that they stand in or next to in both documents. What one
+document repeats within itself stays unless an earlier one holds it; then each
+place goes. Very long texts: work grows with lines times the logarithm of lines.
+An empty table gives an empty table. Other columns of any name stay inside
+``row``.
 """
 
 from __future__ import annotations
@@ -40,7 +49,10 @@ from linemill.llm import shingles as S
 from linemill.llm.batches import bounded
 from linemill.llm.bloom import BloomFilter
 from linemill.llm.scratch import Scratch
+from linemill.llm.skew import frequent, spread_join
 
+#: Alignments of one pair before what is left is aligned stretch by stretch.
+PASSES = 8
 _NEWLINE = "\n"
 _WHITE = " \t\n\x0b\x0c\r"
 _ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
@@ -112,56 +124,96 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_lines(first: list[int], later: list[int], words: list[int], min_words: int) -> list[int]:
-    """Lines of ``later`` in blocks that ``first`` holds too. words: of each line of ``later``."""
-    known = dict(zip(later, words, strict=True))
-    return held_lines(later, words, runs(first, [known.get(x, 0) for x in first], min_words)[2], min_words)
-
-
-def runs(hashes: list[int], words: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first line, line after the last, hash) of the shortest runs of ``min_words`` words that start or end at each line."""
+def keys(hashes: list[int], words: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, line after the last, hash) of the shortest runs of ``min_words`` words that start or end at each line, in the order of the text."""
     n = len(hashes)
     upto = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
     ends = np.searchsorted(upto, upto[:-1] + min_words, "left")
     starts = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
     from_line, to_line = np.flatnonzero(ends <= n), np.flatnonzero(starts >= 0)
     first, end = np.concatenate((from_line, starts[to_line])), np.concatenate((ends[from_line], to_line + 1))
+    place = np.unique(first * (n + 1) + end)
+    first, end = place // (n + 1), place % (n + 1)
     power, inverse = S._power_arrays(n + 1)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(S.mix(np.array(hashes, np.int64).view(np.uint64)) * power[:n], out=prefix[1:])
     return first, end, S.mix((prefix[end] - prefix[first]) * inverse[first] + (end - first).astype(np.uint64)).view(np.int64)
 
 
-def held_lines(hashes: list[int], words: list[int], held: list[int] | np.ndarray, min_words: int) -> list[int]:
-    """Lines that lie in a run of which ``held`` has the hash."""
-    first, end, h = runs(hashes, words, min_words)
-    hit = np.isin(h, np.asarray(held, np.int64))
-    depth = np.zeros(len(hashes) + 1, np.int64)
-    np.add.at(depth, first[hit], 1)
-    np.add.at(depth, end[hit], -1)
-    return np.flatnonzero(np.cumsum(depth)).tolist()
-
+def aligned(earlier: list[int], later: list[int]) -> list[list[int]]:
+    """Places in ``later`` of the keys that alignments with ``earlier`` take, one list an alignment, until none is left.
 
-def _runs(min_words: int):
-    @F.arrow_udf("array<long>")
+    earlier: distinct keys in their order; later: the same keys, repeated and in
+    any order. After ``PASSES`` alignments of all that is left, each stretch of it
+    that rises in ``earlier`` is one.
+    """
+    out = []
+    left = list(range(len(later)))
+    for _ in range(PASSES):
+        if not left:
+            return out
+        taken = [y for _, y in patience(earlier, [later[i] for i in left])]
+        out.append([left[y] for y in taken])
+        gone = set(taken)
+        left = [i for y, i in enumerate(left) if y not in gone]
+    place = {h: x for x, h in enumerate(earlier)}
+    stretch: list[int] = []
+    for i in left:
+        if stretch and place[later[i]] <= place[later[stretch[-1]]]:
+            out.append(stretch)
+            stretch = []
+        stretch.append(i)
+    return out + [stretch] * bool(stretch)
+
+
+def kept_lines(hashes: list[int], words: list[int], met: list[tuple], min_words: int) -> np.ndarray:
+    """For each line whether it stays. met: (earlier document, how many hold the key, its place there, key)."""
+    first, end, h = keys(hashes, words, min_words)
+    order = np.argsort(h, kind="stable")
+    # Of each earlier document its keys; documents with the rarest keys come first.
+    by: dict = {}
+    for doc, often, at, key in met:
+        by.setdefault(doc, []).append((at, key, often))
+    depth = np.zeros(len(hashes) + 1, np.int64)
+    for found in sorted(by.values(), key=lambda f: (min(x[2] for x in f), -len(f))):
+        found.sort()
+        earlier = [key for _, key, _ in found]
+        wanted = np.sort(np.array(earlier, np.int64))
+        low, high = np.searchsorted(h[order], wanted, "left"), np.searchsorted(h[order], wanted, "right")
+        own = np.sort(order[np.repeat(low - np.concatenate(([0], np.cumsum(high - low)[:-1])), high - low) + np.arange((high - low).sum())])
+        for block in aligned(earlier, h[own].tolist()):
+            at = own[block]
+            np.add.at(depth, first[at], 1)
+            np.add.at(depth, end[at], -1)
+    return np.cumsum(depth)[: len(hashes)] == 0
+
+
+def _keys(min_words: int):
+    @F.arrow_udf("array<struct<h: bigint, at: int>>")
     def found(hashes: pa.Array, words: pa.Array) -> pa.Array:
-        cols = zip(hashes.to_pylist(), words.to_pylist(), strict=True)
-        return pa.array([np.unique(runs(h, w, min_words)[2]) for h, w in cols], pa.list_(pa.int64()))
+        h_all, at_all, size = [], [], [0]
+        for h, w in zip(hashes.to_pylist(), words.to_pylist(), strict=True):
+            h, at = np.unique(keys(h, w, min_words)[2], return_index=True)
+            h_all.append(h)
+            at_all.append(at.astype(np.int32))
+            size.append(size[-1] + len(h))
+        both = pa.StructArray.from_arrays([pa.array(np.concatenate(h_all or [np.zeros(0, np.int64)])), pa.array(np.concatenate(at_all or [np.zeros(0, np.int32)]))], ["h", "at"])
+        return pa.ListArray.from_arrays(pa.array(size, pa.int32()), both)
 
     return found
 
 
-def _gone(min_words: int):
-    @F.arrow_udf("array<int>")
-    def gone(hashes: pa.Array, words: pa.Array, held: pa.Array) -> pa.Array:
-        cols = zip(hashes.to_pylist(), words.to_pylist(), held.to_pylist(), strict=True)
-        return pa.array([held_lines(h, w, x, min_words) for h, w, x in cols], pa.list_(pa.int32()))
+def _kept(min_words: int):
+    @F.arrow_udf("array<boolean>")
+    def kept(hashes: pa.Array, words: pa.Array, met: pa.Array) -> pa.Array:
+        cols = zip(hashes.to_pylist(), words.to_pylist(), met.to_pylist(), strict=True)
+        return pa.array([kept_lines(h, w, [((m["fk"], m["fth"]), m["often"], m["at"], m["h"]) for m in x], min_words) for h, w, x in cols], pa.list_(pa.bool_()))
 
-    return gone
+    return kept
 
 
 def removals(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
-    """(k, th, gone): the lines to be deleted, by document. k: the id, a null as the least; th: the text's hash."""
+    """(k, th, kept): for each line whether it stays, of documents that lose some. k: the id, a null as the least; th: the text's hash."""
     own = F.split("text", _NEWLINE, -1)
     lines = docs.select(
         "k",
@@ -170,11 +222,13 @@ def removals(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
         F.transform(own, lambda x: F.regexp_count(x, F.lit(_WORD))).alias("words"),
     )
     lines = scratch.keep(lines.dropDuplicates(["k", "th"]), "lines")
-    each = scratch.keep(lines.select("k", "th", F.explode(_runs(min_words)("hashes", "words")).alias("h")), "runs")
-    doc = F.struct("k", "th")
-    first = each.groupBy("h").agg(F.min(doc).alias("f"), F.max(doc).alias("l")).filter("f != l").select("h", F.col("f.k").alias("fk"), F.col("f.th").alias("fth"))
-    held = each.join(first, "h").filter("k != fk or th != fth").groupBy("k", "th").agg(F.collect_list("h").alias("held"))
-    found = scratch.keep(lines.join(held, ["k", "th"]).select("k", "th", _gone(min_words)("hashes", "words", "held").alias("gone")), "gone")
+    each = scratch.keep(lines.select("k", "th", F.explode(_keys(min_words)("hashes", "words")).alias("x")).select("k", "th", "x.h", "x.at"), "keys")
+    holders = each.groupBy("h").agg(F.min(F.struct("k", "th", "at")).alias("f"), F.max(F.struct("k", "th")).alias("l"), F.count(F.lit(1)).alias("often"))
+    often = frequent(holders, ["h"], scratch.rows(each), "often")
+    holders = holders.filter("f.k != l.k or f.th != l.th").select("h", F.col("f.k").alias("fk"), F.col("f.th").alias("fth"), F.col("f.at").alias("at"), "often")
+    pairs = spread_join(each.drop("at"), holders, ["h"], "th", often).filter("k != fk or th != fth")
+    met = pairs.groupBy("k", "th").agg(F.collect_list(F.struct("fk", "fth", "often", "at", "h")).alias("met"))  # a document's own keys at most
+    found = scratch.keep(lines.join(met, ["k", "th"]).select("k", "th", _kept(min_words)("hashes", "words", "met").alias("kept")), "kept")
     scratch.drop(lines, each)
     return found
 
@@ -192,19 +246,19 @@ def line_dedup(docs: DataFrame, *, min_words: int = 20, id_col: str = "doc_id",
     bounded(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "line_dedup")
     keyed = _keyed(docs, id_col, text_col)
-    gone = removals(keyed.select("k", "th", "text"), scratch, min_words)
+    found = removals(keyed.select("k", "th", "text"), scratch, min_words)
     # Texts that lose nothing needn't move: a filter of bounded size tells most of them apart.
     own = F.xxhash64("k", "th")
-    bloom = BloomFilter(gone.select(own.alias("key")), "key")
+    bloom = BloomFilter(found.select(own.alias("key")), "key")
     may = bloom.may_contain(own, bloom.bits())
-    left = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(gone, i)), '\\n')")
-    cut = keyed.filter(may).join(gone.hint("merge"), ["k", "th"], "left")
-    every = keyed.filter(~may).withColumn("gone", F.lit(None).cast("array<int>")).unionByName(cut)
+    left = F.expr("array_join(array_compact(zip_with(split(text, '\\n', -1), kept, (x, stays) -> if(stays, x, null))), '\\n')")
+    cut = keyed.filter(may).join(found.hint("merge"), ["k", "th"], "left")
+    every = keyed.filter(~may).withColumn("kept", F.lit(None).cast("array<boolean>")).unionByName(cut)
     return every.select(
         "row",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.when(F.col("kept").isNull(), F.col("text")).otherwise(left).alias("text"),
         F.expr("size(split(text, '\\n', -1))").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
+        F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size(F.filter("kept", lambda stays: ~stays))).alias("n_removed"),
     )
 
 

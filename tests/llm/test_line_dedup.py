@@ -1,4 +1,5 @@
 import random
+import time
 
 from linemill.llm import line_dedup as L
 
@@ -21,32 +22,23 @@ def _count(line):
     return len(line.strip(" ").split(" ")) if line.strip(" ") else 0
 
 
-def _runs(lines, min_words):
-    """Runs of lines with enough words of which no line at one end can be spared."""
-    n = [_count(x) for x in lines]
-    for i in range(len(lines)):
-        for j in range(i + 1, len(lines) + 1):
-            if n[i] and n[j - 1] and sum(n[i:j]) >= min_words and (sum(n[i + 1 : j]) < min_words or sum(n[i : j - 1]) < min_words):
-                yield tuple(lines[i:j])
-
-
-def brute(rows, min_words):
-    """Each document against the first holder of each of its runs, over whole texts."""
-    docs = sorted({(-(2**63) if i is None else i, t or "") for i, t in rows})
-    first = {}
-    for d in docs:
-        for run in _runs(d[1].split("\n"), min_words):
-            first.setdefault(run, d)
-    out = {}
-    for d in docs:
-        lines = d[1].split("\n")
-        gone = set()
-        for f in {first[x] for x in _runs(lines, min_words)} - {d}:
-            ids = {}
-            code = lambda xs: [ids.setdefault(x, len(ids)) for x in xs]
-            gone |= set(L.common_lines(code(f[1].split("\n")), code(lines), list(map(_count, lines)), min_words))
-        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
-    return sorted(((i, *out[(-(2**63) if i is None else i, t or "")]) for i, t in rows), key=str)
+def every_earlier(rows, min_words):
+    """Each document loses every stretch of lines with enough words that any earlier document holds, over whole texts; of each row id, text, lines lost."""
+    key = lambda i, t: (-(2**63) if i is None else i, t or "")
+    docs = [(d, d[1].split("\n")) for d in sorted({key(*r) for r in rows}, key=lambda d: (d[0], d[1]))]
+    out, held = {}, set()
+    for d, x in docs:
+        n = list(map(_count, x))
+        gone, own = set(), set()
+        for i in range(len(x)):
+            for j in range(i + 1, len(x) + 1):
+                if sum(n[i:j]) >= min_words:
+                    own.add(tuple(x[i:j]))
+                    if tuple(x[i:j]) in held:
+                        gone |= set(range(i, j))
+        held |= own
+        out[d] = "\n".join(v for i, v in enumerate(x) if i not in gone), len(gone)
+    return sorted(((i, *out[key(i, t)]) for i, t in rows), key=str)
 
 
 def test_a_block_is_found_whoever_holds_its_lines_first(spark):
@@ -72,24 +64,7 @@ def test_matches_brute_force(spark):
     rows += rows[:3] + [(None, rows[4][1]), (300, ""), (301, None), (302, "\n\n"), (None, None), (303, "long " * 20_000), (304, "long " * 20_000)]
     frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' as k", "1 as gone", "'y' as row")
     got = L.line_dedup(frame.repartition(3), min_words=7).collect()
-    assert sorted(((r.row.doc_id, r.text, r.n_removed) for r in got), key=str) == brute(rows, 7)
-
-
-def every_earlier(rows, min_words):
-    """Each document loses every stretch of lines with enough words that any earlier document holds, over whole texts."""
-    docs = sorted(rows)
-    stretches = [
-        {tuple(x[i:j]): None for i in range(len(x)) for j in range(i + 1, len(x) + 1) if sum(map(_count, x[i:j])) >= min_words} for x in (t.split("\n") for _, t in docs)
-    ]
-    out = {}
-    for d, (k, t) in enumerate(docs):
-        x, gone = t.split("\n"), set()
-        for i in range(len(x)):
-            for j in range(i + 1, len(x) + 1):
-                if any(tuple(x[i:j]) in held for held in stretches[:d]):
-                    gone |= set(range(i, j))
-        out[k] = "\n".join(v for i, v in enumerate(x) if i not in gone)
-    return out
+    assert sorted(((r.row.doc_id, r.text, r.n_removed) for r in got), key=str) == every_earlier(rows, 7)
 
 
 def test_passages_in_another_order_go_from_every_later_document(spark):
@@ -103,8 +78,8 @@ def test_matches_alignment_with_every_earlier_document(spark):
     rng = random.Random(5)
     stock = ["", "a", "b b", "c c c", "d d d d"]
     rows = [(i, "\n".join(rng.choice(stock) if rng.random() < 0.9 else f"own {i}" for _ in range(rng.randrange(1, 14)))) for i in range(60)]
-    got = {r.row.doc_id: r.text for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), min_words=6).collect()}
-    assert got == every_earlier(rows, 6)
+    got = L.line_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), min_words=6).collect()
+    assert sorted(((r.row.doc_id, r.text, r.n_removed) for r in got), key=str) == every_earlier(rows, 6)
 
 
 def test_patience_aligns_lines_that_occur_twice():
@@ -149,3 +124,32 @@ def test_rows_left_keeps_columns_and_drops_emptied(spark):
 
 def test_empty_table(spark):
     assert L.line_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_alignments_take_everything_in_any_order():
+    rng = random.Random(7)
+    for n in (0, 1, 7, 60):
+        earlier = rng.sample(range(1000), n)
+        for later in (earlier, earlier[::-1], rng.choices(earlier, k=3 * n) if n else [], earlier[n // 2 :] + earlier[: n // 2]):
+            got = L.aligned(earlier, later)
+            assert sorted(y for block in got for y in block) == list(range(len(later)))
+            place = {h: x for x, h in enumerate(earlier)}
+            for block in got:
+                assert all(p < q and place[later[p]] < place[later[q]] for p, q in zip(block, block[1:], strict=False))
+    assert len(L.aligned(list(range(100)), list(range(100)))) == 1
+
+
+def test_a_document_of_very_many_lines(spark):
+    own = [f"line {i} of the first one" for i in range(200_000)]
+    rows = [(1, "\n".join(own)), (2, "\n".join(["fresh start", *own[100_000:], *own[:100_000], "fresh end"]))]
+    began = time.perf_counter()
+    got = {r.row.doc_id: (r.text, r.n_removed) for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[2] == ("fresh start\nfresh end", 200_000) and got[1][1] == 0
+    assert time.perf_counter() - began < 120
+
+
+def test_a_line_that_nearly_all_documents_hold(spark):
+    stock = " ".join(f"s{i}" for i in range(25))
+    rows = [(i, f"own {i}\n{stock}\nend {i}") for i in range(3000)]
+    got = {r.row.doc_id: r.text for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: rows[0][1]} | {i: f"own {i}\nend {i}" for i in range(1, 3000)}
