@@ -9,13 +9,21 @@ the committed batches into one table, with their names beside it; the names
 count as committed from then on, and the last finished fold is the one that is
 read, so a fold that a failure cut off changes nothing. One writer folds at a time.
 
-Null sources and languages are groups of their own. Null texts count as empty:
-one document without tokens.
+Counts are a column of the caller's: a column that holds them, ``bpe.counter``
+for a tokenizer's vocabulary, or the built-in expressions below.
+
+Cases. Null sources and languages are groups of their own. Null texts count as
+empty: one document without tokens. Whole texts are counted, however long.
+Repeated rows are counted as often as they occur. Sums know no ties. A batch
+without rows is committed and changes nothing; without batches the totals are
+empty. Other columns of any name are not read. Batch names are any text, the
+empty one included; one of more than 200 characters as it is encoded is refused.
 """
 
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +32,14 @@ from linemill.llm.scratch import _path, exists, shared_dir
 
 KEYS = ["source", "lang", "tokenizer"]
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+# The pieces that two versions of a rule-based tokenizer count.
+# 1: letters and digits together, each other sign by itself. 2: letters, digits and runs of other signs apart.
+PIECES_1 = r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
+PIECES_2 = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]+"
 
 
-def words(text: Column) -> Column:
-    """Runs of characters other than white space (0x20, 0x09-0x0D)."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def pieces(text: Column, rule: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(rule)), F.lit(0)).cast("long")
 
 
 def inserted(docs: DataFrame, tokenizer: str, count: Column) -> DataFrame:
@@ -43,24 +54,29 @@ def revised(docs: DataFrame, tokenizer: str, before: Column, after: Column) -> D
     return docs.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(0).cast("long").alias("n_docs"), (after - before).alias("n_tokens"))
 
 
+def _folder(batch: str) -> str:
+    """The folder of a batch: its name with every sign that paths treat in their own way encoded."""
+    name = quote(batch, safe="").replace("~", "%7E")
+    if len(name) > 200:
+        raise ValueError(f"batch name too long: {batch[:80]}...")
+    return f"batch={name}"
+
+
 class TokenRollup:
     """Totals by source, language and tokenizer version in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _at(self, batch: str) -> str:
-        return f"{self.root}/batch={batch}"
-
     def committed(self, batch: str) -> bool:
-        return exists(self.spark, f"{self._at(batch)}/_SUCCESS") or batch in self.folded()
+        return exists(self.spark, f"{self.root}/{_folder(batch)}/_SUCCESS") or not self._names().filter(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch; False if it is there already. What an earlier try left unfinished is replaced."""
         if self.committed(batch):
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(self._at(batch))
+        sums.write.mode("overwrite").parquet(f"{self.root}/{_folder(batch)}")
         return True
 
     def _finished(self, prefix: str) -> list[str]:
@@ -74,19 +90,22 @@ class TokenRollup:
     def _fold(self) -> int:
         return max(map(int, self._finished("fold=")), default=0)
 
-    def folded(self) -> set[str]:
-        """Names of the batches that the last fold holds: as many as there were commits."""
+    def _names(self) -> DataFrame:
+        """Names of the batches that the last fold holds."""
         n = self._fold()
-        return {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.root}/names={n}").collect()} if n else set()
+        return self.spark.read.schema("batch string").parquet(f"{self.root}/names={n}") if n else self.spark.createDataFrame([], "batch string")
 
     def batches(self) -> list[str]:
-        """Committed batches that no fold holds."""
-        held = self.folded()
-        return [n for n in self._finished("batch=") if n not in held]
+        """Committed batches that no fold holds: those since the last fold."""
+        found = [unquote(n) for n in self._finished("batch=")]
+        if not found or not self._fold():
+            return found
+        here = self.spark.createDataFrame([(b,) for b in found], "batch string")
+        return sorted(r.batch for r in here.join(self._names(), "batch", "left_anti").collect())
 
     def _sums(self, names: list[str]) -> DataFrame | None:
         n = self._fold()
-        found = [f"{self.root}/fold={n}"] * bool(n) + list(map(self._at, names))
+        found = [f"{self.root}/fold={n}"] * bool(n) + [f"{self.root}/{_folder(b)}" for b in names]
         if not found:
             return None
         every = self.spark.read.schema(_DELTA).parquet(*found)
@@ -102,11 +121,11 @@ class TokenRollup:
         new = self.batches()
         if new:
             before = self._fold()
-            every = [(b,) for b in sorted(self.folded() | set(new))]
-            self.spark.createDataFrame(every, "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/names={before + 1}")
+            names = self._names().unionByName(self.spark.createDataFrame([(b,) for b in new], "batch string"))
+            names.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/names={before + 1}")
             self._sums(new).write.mode("overwrite").parquet(f"{self.root}/fold={before + 1}")
-        now, held = self._fold(), self.folded()
-        old = [f"batch={b}" for b in self._finished("batch=") if b in held] + [f"{kind}{n}" for kind in ("fold=", "names=") for n in self._finished(kind) if int(n) < now]
+        now, since = self._fold(), set(self.batches())
+        old = [f"batch={b}" for b in self._finished("batch=") if unquote(b) not in since] + [f"{kind}{n}" for kind in ("fold=", "names=") for n in self._finished(kind) if int(n) < now]
         for name in old:
             path, fs = _path(self.spark, f"{self.root}/{name}")
             fs.delete(path, True)
@@ -114,32 +133,32 @@ class TokenRollup:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in under two tokenizer versions; the counts of one are revised; empty texts are deleted; one language is deleted and comes in again; batches are repeated."""
+    """All documents come in under two tokenizers; one is replaced by its next version, document by document; empty texts are deleted; one language is deleted and comes in again; batches are repeated."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang", "text")
     text = F.coalesce("text", F.lit(""))
-    by_word, by_byte, by_char = words(text), F.octet_length(text).cast("long"), F.length(text).cast("long")
+    first, second, by_byte = pieces(text, PIECES_1), pieces(text, PIECES_2), F.octet_length(text).cast("long")
     rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     path, fs = _path(spark, rollup.root)
     fs.deleteOnExit(path)
-    rollup.commit("1", inserted(docs, "words-1", by_word))
-    rollup.commit("2", inserted(docs, "chars-1", by_byte))
-    changed = revised(docs, "chars-1", by_byte, by_char)
+    rollup.commit("1", inserted(docs, "pieces", first))
+    rollup.commit("2", inserted(docs, "bytes", by_byte))
+    changed = revised(docs, "pieces", first, second)
     rollup.commit("3", changed)
     rollup.commit("3", changed)
     none = docs.filter(text == "")
-    rollup.commit("4", deleted(none, "words-1", by_word).unionByName(deleted(none, "chars-1", by_char)))
+    rollup.commit("4", deleted(none, "pieces", second).unionByName(deleted(none, "bytes", by_byte)))
     one = docs.filter(F.col("lang") == docs.agg(F.min("lang")).first()[0]).filter(text != "")
-    rollup.commit("5", deleted(one, "words-1", by_word).unionByName(deleted(one, "chars-1", by_char)))
-    rollup.commit("6", inserted(one, "words-1", by_word).unionByName(inserted(one, "chars-1", by_char)))
-    rollup.commit("1", inserted(docs, "words-1", by_word))
+    rollup.commit("5", deleted(one, "pieces", second).unionByName(deleted(one, "bytes", by_byte)))
+    rollup.commit("6", inserted(one, "pieces", second).unionByName(inserted(one, "bytes", by_byte)))
+    rollup.commit("1", inserted(docs, "pieces", first))
     return rollup.totals()
 
 
-OP8_SQL = r"""
+OP8_SQL = rf"""
 SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
 FROM (
-  SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM documents WHERE text <> ''
+  SELECT source, lang, 'pieces' AS tokenizer, len(regexp_extract_all(text, '{PIECES_2}')) AS n FROM documents WHERE text <> ''
   UNION ALL
-  SELECT source, lang, 'chars-1', length(text) FROM documents WHERE text <> ''
+  SELECT source, lang, 'bytes', strlen(text) FROM documents WHERE text <> ''
 ) GROUP BY source, lang, tokenizer
 """
