@@ -12,10 +12,17 @@ Only built-in expressions run, and only the one block of a source that its
 budget cuts is ordered by document, so a source that holds a third of all rows
 is never one task's work.
 
-Tokens are runs of characters other than white space (0x20, 0x09-0x0D). A null
-source is a source of its own. Null and empty texts have no tokens and cost
-nothing; they appear once a whole pass, and in the last pass if their block is
-in it. Repeated rows (same id and text) fall into the same place together.
+Where a source's budget ends is one row (its last whole block, the block that is
+cut, the last hash in it), so documents are placed where they are read and no
+text moves; only rows of the rarest sources do, where there are more than
+``BROADCAST`` sources.
+
+Cases. Tokens are runs of characters other than white space (0x20, 0x09-0x0D);
+very long texts are counted whole. A null source is a source of its own. Null
+and empty texts have no tokens and cost nothing; they appear once a whole pass,
+and in the last pass if their block is in it. Repeated rows (same id and text)
+fall into the same place together, as do ties of the hash. An empty table gives
+an empty table. Other columns of any name stay inside ``row``.
 """
 
 from __future__ import annotations
@@ -27,7 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linemill.llm.scratch import Scratch
+from linemill.llm.skew import counted, frequent
 
+#: Sources up to which one row each is broadcast.
+BROADCAST = 10_000
 _POINTS, _ROUNDS = 15, 7
 
 
@@ -113,20 +123,37 @@ def mix(
     mass = plan.agg(F.sum(F.when(F.col("raw") > 0, F.col("raw")))).first()[0] or 1.0
     plan = scratch.keep(plan.withColumn("weight", F.col("raw") / F.lit(mass)).drop("raw"), "plan")
     block = F.pmod(F.col("h"), F.col("blocks"))
-    blocks = sizes.join(plan, "s").groupBy("s", "rest", block.alias("block")).agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("s").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block").rowsBetween(Window.unboundedPreceding, 0)
+    few = scratch.rows(plan) <= BROADCAST
+    blocks = sizes.join(F.broadcast(plan) if few else plan, "s").groupBy("s", "rest", block.alias("block")).agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("s").orderBy(_turn("block", seed)).rowsBetween(Window.unboundedPreceding, 0)
     # The running sum is over a source's blocks, not its documents.
-    blocks = blocks.withColumn("upto", F.sum("n").over(w)).select("s", "block", (F.col("upto") - F.col("n")).alias("before"), (F.col("upto") <= F.col("rest")).alias("in_whole"), (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))
-    blocks = scratch.keep(blocks.withColumn("cut", ~F.col("in_whole") & (F.col("left") > 0)), "blocks")
-    cut = blocks.filter("cut").select("s", "block", "left")
-    inside = sizes.join(plan.select("s", "blocks"), "s").withColumn("block", block).join(cut, ["s", "block"])
+    blocks = blocks.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
+    blocks = scratch.keep(blocks.select("s", "block", _turn("block", seed).alias("turn"), (F.col("rest") - F.col("before")).alias("left"), (F.col("upto") <= F.col("rest")).alias("in_whole")), "blocks")
+    last = blocks.filter("in_whole").groupBy("s").agg(F.max("turn").alias("last"))
+    cut = blocks.filter("not in_whole and left > 0").select("s", F.col("block").alias("cut"), "left")
+    inside = sizes.join(F.broadcast(plan.select("s", "blocks").join(cut, "s")), "s") if few else sizes.join(plan.select("s", "blocks"), "s").join(cut, "s")
+    inside = inside.filter(block == F.col("cut"))
     inner = Window.partitionBy("s").orderBy(F.col("h")).rangeBetween(Window.unboundedPreceding, 0)
     # Of the one block that is cut: the last hash up to which documents fit.
     edge = inside.withColumn("upto", F.sum("n").over(inner)).filter("upto <= left").groupBy("s").agg(F.max("h").alias("edge"))
-    marks = blocks.join(edge, "s", "left").select("s", "block", "in_whole", "cut", "edge")
-    placed = own.join(plan, "s").withColumn("block", block).join(marks, ["s", "block"])
-    partly = F.col("in_whole") | (F.col("cut") & F.coalesce(F.col("h") <= F.col("edge"), F.lit(False)))
-    return placed.select("row", F.col("n").alias("n_tokens"), "weight", "block", (F.col("full") + F.when(partly & (F.col("rest") > 0), 1).otherwise(0)).alias("copies"))
+    # All that a document needs to know is in one row a source.
+    marks = scratch.keep(plan.join(last, "s", "left").join(cut.drop("left"), "s", "left").join(edge, "s", "left"), "marks")
+    placed = own.join(F.broadcast(marks), "s") if few else _beside(own, marks, scratch.rows(sizes))
+    placed = placed.withColumn("block", block)
+    in_part = F.coalesce(_turn("block", seed) <= F.col("last"), F.lit(False)) | F.coalesce((F.col("block") == F.col("cut")) & (F.col("h") <= F.col("edge")), F.lit(False))
+    return placed.select("row", F.col("n").alias("n_tokens"), "weight", "block", (F.col("full") + F.when(in_part & (F.col("rest") > 0), 1).otherwise(0)).alias("copies"))
+
+
+def _turn(block: str, seed: int) -> Column:
+    """Blocks of a source are taken in this order."""
+    return F.struct(F.xxhash64(block, F.lit(seed + 1)), F.col(block))
+
+
+def _beside(rows: DataFrame, marks: DataFrame, total: int) -> DataFrame:
+    """Rows of sources with a thousandth of all rows, a thousand sources at most, stay where they are; the others move to their source's mark."""
+    often = F.broadcast(frequent(counted(rows, ["s"]), ["s"], total).select("s"))
+    here = rows.join(F.broadcast(marks.join(often, "s", "left_semi")), "s")
+    return here.unionByName(rows.join(often, "s", "left_anti").join(marks, "s"))
 
 
 def _whole_power(totals: DataFrame, total: float, entropy: float, repetition: float) -> float:
