@@ -15,11 +15,14 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     """(text, y) of at most ``per_class`` labelled rows of each class that aren't held out, by the order of a hash of the id.
 
     Rows with null ids or labels are left out; of several labels for an id the
-    largest counts. Repeated texts count once.
+    largest counts, of several texts under one id that with the least digest, so
+    that repeated ids add no rows. Repeated texts count once.
     """
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
     order = F.xxhash64("doc_id", F.lit("train"))
     picked = [known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1])  # at most 2 * per_class rows, so that broadcasting them is safe
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return rows.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.first("text").alias("text"), F.max("y").cast("int").alias("y")).select("text", "y")
+    rows = rows.withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("h", "text", "y")).alias("x")).select("x.*")
+    return one.groupBy("h").agg(F.first("text").alias("text"), F.max("y").cast("int").alias("y")).select("text", "y")

@@ -1,4 +1,5 @@
 import random
+import time
 
 from linemill.llm import toxicity as T
 from linemill.llm.training import held_out, training_texts
@@ -21,6 +22,44 @@ def test_words_exceptions_and_length():
     assert T.Lexicon.load(BASE.dump()).score("you clown") == BASE.score("you clown")
 
 
+def naive(lexicon, folded):
+    """Every pattern at every place, against every exception."""
+    at = lambda p: [i for i in range(len(folded)) if folded.startswith(p, i)]
+    spared = [(i, i + len(e) - 1) for e in lexicon.exceptions for i in at(e)]
+    heaviest = {}
+    for p, w in lexicon.weights.items():
+        for i in at(p):
+            heaviest[i] = max(w, heaviest.get(i, 0.0))
+    return sum(w for i, w in heaviest.items() if not any(x <= i < y for x, y in spared))
+
+
+def test_matches_naive_matching():
+    rng = random.Random(11)
+    for _ in range(60):
+        word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 4)))
+        weights = {f" {word()}{rng.choice(['', ' '])}": rng.randrange(1, 5) * 1.0 for _ in range(5)}
+        exceptions = [e for e in (f" {word()} {word()} " for _ in range(3)) if e not in weights]
+        lexicon = T.Lexicon(weights, exceptions, [-4.0, 4.0, 1.0])
+        text = T.fold(" ".join(word() for _ in range(40)))
+        assert lexicon.matched(text) == naive(lexicon, text)
+    for phrase in ("the trash can is trash", "trash can trash", "idiot proof idiots", "class clown fish clown"):
+        assert BASE.matched(T.fold(phrase)) == naive(BASE, T.fold(phrase))
+
+
+def test_a_very_long_text_of_exceptions():
+    began = time.perf_counter()
+    assert BASE.matched(T.fold("trash can " * 500_000 + "trash")) == 4.0
+    assert time.perf_counter() - began < 60
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, "third")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in (1, 2, 3)], "doc_id long, toxic int")
+    ids = [i for i in (1, 2, 3) if not docs.filter(f"doc_id = {i}").select(held_out(docs["doc_id"])).first()[0]]
+    assert ids and training_texts(docs, labels, "toxic", 1).count() == 1
+    assert training_texts(docs, labels, "toxic", 9).count() == len(ids)
+
+
 def corpus(spark, n=600):
     rng = random.Random(6)
     rows, marks = [], []
