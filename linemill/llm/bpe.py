@@ -2,22 +2,29 @@
 
 Texts are cut at special tokens and then by the pattern of the byte-level
 pre-tokenizer. Words not seen before are encoded together: their symbols lie in
-one flat array; in each round every word's pair of lowest rank is found by
-binary search over the sorted pair keys, and all its places in that word merge.
+one flat array; in each round every word's pair of lowest rank merges at all its
+places in that word. Ranks are found by binary search over the sorted pair keys,
+after the first round only for the neighbours of what merged. A word of more than
+``LONG`` bytes would need about as many rounds as it has different pairs, each
+over all of it; such words merge pair by pair from a heap, in the same order.
 Results are kept in a table of bounded size in each worker.
 
-Null and empty texts encode to no ids and decode to the empty text. Texts are
-encoded whole, however long.
+Cases. Null and empty texts encode to no ids and decode to the empty text. Texts
+are encoded whole, however long. Of equal ranks in a word the leftmost merges
+first. Repeated rows get the same ids. An empty table gives an empty table.
+Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +32,10 @@ from pyspark.sql import functions as F
 
 from linemill.llm.batches import bounded
 
-#: Where the vocabulary files are on the driver; their bytes are broadcast.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Where the vocabulary file is on the driver; its bytes are broadcast.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Bytes of a word from which it merges by a heap.
+LONG = 1000
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept in a worker's table.
@@ -65,6 +74,7 @@ class ByteBPE:
         self._made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self._pattern = regex.compile(PATTERN)
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self._pairs: dict[int, int] | None = None
         self._forget()
 
     def _forget(self) -> None:
@@ -75,30 +85,37 @@ class ByteBPE:
 
     # ---- merging
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; the number of merges where there is none."""
+        none = len(self._rank)
+        if not none:
+            return np.full(len(left), none)
+        key = left * self._size + right
+        at = np.minimum(np.searchsorted(self._keys, key), none - 1)
+        return np.where(self._keys[at] == key, self._rank[at], none)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and where each word's start."""
-        flat = np.frombuffer(b"".join(words), np.uint8)
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        flat = np.frombuffer(b"".join(b"" if len(w) > LONG else w for w in words), np.uint8)
         sym = self._byte_id[flat]
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        done_sym, done_word = [], []
-        top, none = len(self._keys) - 1, len(self._rank)
+        word = np.repeat(np.arange(len(words)), [0 if len(w) > LONG else len(w) for w in words])
+        done_sym = [self._merge_long(words[i]) for i in long]
+        done_word = [np.full(len(s), i) for i, s in zip(long, done_sym, strict=True)]
+        none = len(self._rank)
+        rank = np.full(len(sym), none)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner] = self._ranks(sym[inner], sym[inner + 1])
         while len(sym):
-            rank = np.full(len(sym), none)
-            if len(sym) > 1 and top >= 0:
-                key = sym[:-1] * self._size + sym[1:]
-                at = np.minimum(np.searchsorted(self._keys, key), top)
-                rank[:-1] = np.where((self._keys[at] == key) & (word[:-1] == word[1:]), self._rank[at], none)
             start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            count = np.diff(np.concatenate((start, [len(word)])))
-            least = np.repeat(np.minimum.reduceat(rank, start), count)
+            least = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.concatenate((start, [len(word)]))))
             hit = (rank == least) & (least < none)
             # Places of one pair that overlap (a symbol with itself) merge from the left: every other one of a run.
             place = np.flatnonzero(hit)
             if len(place) > 1 and (place[1:] == place[:-1] + 1).any():
                 run = np.concatenate(([True], place[1:] != place[:-1] + 1))
                 first = place[run][np.cumsum(run) - 1]
-                hit[place[(place - first) % 2 == 1]] = False
-                place = np.flatnonzero(hit)
+                place = place[(place - first) % 2 == 0]
             ended = least == none
             if ended.any():
                 done_sym.append(sym[ended])
@@ -106,13 +123,50 @@ class ByteBPE:
             sym[place] = self._made[rank[place]]
             left = ~ended
             left[place + 1] = False
-            sym, word = sym[left], word[left]
+            changed = np.zeros(len(sym), bool)
+            changed[place] = True
+            sym, word, rank, changed = sym[left], word[left], rank[left], changed[left]
+            # Pairs that begin with what was made, and those that end with it.
+            new = changed.copy()
+            new[:-1] |= changed[1:]
+            at = np.flatnonzero(new)
+            rank[at] = none
+            at = at[at < len(sym) - 1]
+            at = at[word[at] == word[at + 1]]
+            rank[at] = self._ranks(sym[at], sym[at + 1])
         if not done_sym:
             return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         return sym[order], np.searchsorted(word[order], np.arange(len(words) + 1))
 
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word: its pairs in a heap by rank and place, its symbols in a linked list."""
+        if self._pairs is None:
+            self._pairs = dict(zip(self._keys.tolist(), self._rank.tolist(), strict=True))
+        pairs, made, size = self._pairs, self._made.tolist(), self._size
+        first = self._byte_id[np.frombuffer(word, np.uint8)]
+        rank = self._ranks(first[:-1], first[1:])
+        at = np.flatnonzero(rank < len(self._rank))
+        heap = list(zip(rank[at].tolist(), at.tolist(), strict=True))
+        heapq.heapify(heap)
+        sym, n = first.tolist(), len(first)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j >= n or pairs.get(sym[i] * size + sym[j]) != r:
+                continue  # one of the two has merged since
+            sym[i], sym[j] = made[r], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (x := pairs.get(sym[i] * size + sym[k])) is not None:
+                    heapq.heappush(heap, (x, i))
+            if (h := before[i]) >= 0 and (x := pairs.get(sym[h] * size + sym[i])) is not None:
+                heapq.heappush(heap, (x, h))
+        return np.array([s for s in sym if s >= 0], np.int64)
+
     def _learn(self, words: set[str]) -> None:
         if len(self._handle) + len(words) > KEPT_WORDS:
             self._forget()
@@ -227,6 +281,28 @@ def decoder(spark: SparkSession, path: str = TOKENIZER):
     return decode
 
 
+def codec(spark: SparkSession, path: str = TOKENIZER):
+    """A Column function: text to its ids, and whether they decode to it."""
+    bounded(spark)
+    shared = spark.sparkContext.broadcast(Path(path).read_bytes())
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("exact", pa.bool_())])
+
+    @F.arrow_udf("ids array<int>, exact boolean")
+    def both(texts: pa.Array) -> pa.Array:
+        t = tokenizer(shared.value)
+        given = [v.as_py() or "" for v in texts]
+        ids = t.encode(given)
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array([t.decode_bytes(i) == g.encode() for i, g in zip(ids, given, strict=True)], pa.bool_())], fields=list(kind))
+
+    return both
+
+
+def counter(spark: SparkSession, path: str = TOKENIZER):
+    """A Column function: text to how many ids it has."""
+    encode = encoder(spark, path)
+    return lambda text: F.size(encode(text)).cast("long")
+
+
 def digests(docs: DataFrame, path: str = TOKENIZER, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of ``docs``."""
     bounded(docs.sparkSession)

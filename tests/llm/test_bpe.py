@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -31,6 +32,24 @@ def test_random_texts_match_the_library():
         assert got.tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
 
 
+def test_long_words_match_the_library(monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "the and ing".replace(" ", ""), "abcdefghijklmnopqrstuvwxyz", "é漢🙂a") for n in (5, 50, 400, 1500)]
+    want = [LIBRARY.encode(w, add_special_tokens=False).ids for w in words]
+    for bound in (1, 100, 10**6):
+        monkeypatch.setattr(bpe, "LONG", bound)
+        assert [x.tolist() for x in bpe.ByteBPE(Path(bpe.TOKENIZER).read_bytes()).encode(words)] == want
+
+
+def test_a_word_of_very_many_letters():
+    rng = random.Random(5)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(500_000))
+    began = time.perf_counter()
+    ids = OWN.encode([word])[0].tolist()
+    assert time.perf_counter() - began < 30 and OWN.decode(ids) == word
+    assert ids == LIBRARY.encode(word, add_special_tokens=False).ids
+
+
 def test_table_is_forgotten_when_full(monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_WORDS", 5)
     own = bpe.ByteBPE(Path(bpe.TOKENIZER).read_bytes())
@@ -51,6 +70,12 @@ def test_digests(spark):
     assert bpe.digests(frame.limit(0)).collect() == []
 
 
+def test_counter(spark):
+    frame = spark.createDataFrame([(t,) for t in TEXTS] + [(None,)], "text string")
+    got = [tuple(r) for r in frame.select("text", bpe.counter(spark)(frame["text"]).alias("n")).collect()]
+    assert got == [(t, len(LIBRARY.encode(t or "", add_special_tokens=False).ids)) for t in [*TEXTS, None]]
+
+
 def test_round_trip_columns(spark):
     frame = spark.createDataFrame([(t,) for t in TEXTS] + [(None,)], "text string")
     out = frame.select("text", bpe.encoder(spark)("text").alias("ids")).select("text", bpe.decoder(spark)("ids").alias("back")).collect()
