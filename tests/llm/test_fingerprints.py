@@ -26,6 +26,42 @@ def test_likeness():
     assert P.likeness(mark("ab" * 5000), mark("ab" * 4000)) > 0.9 and mark("short") != mark("shorT")
 
 
+def _share(a, b, width):
+    """2 common / both of the distinct spans of two texts, by comparing texts."""
+    x, y = ({t[i : i + width] for i in range(max(1, len(t) - width + 1))} for t in (a, b))
+    return 2 * len(x & y) / (len(x) + len(y))
+
+
+def test_likeness_is_near_the_true_share_of_spans():
+    rng = random.Random(4)
+    mark = lambda t: P.fingerprint(P.PrefixHash(t))
+    wrong = []
+    for _ in range(150):
+        n = rng.choice([10, 30, 100, 300, 3000])
+        a, b = ("".join(rng.choice("abcdefghij \u00e9") for _ in range(n)) for _ in range(2))
+        cut = rng.randrange(n)
+        c = a[:cut] + b[: n - cut]
+        got, want = P.likeness(mark(a), mark(c)), _share(a, c, P.NARROW if n < P.SHORT else P.WIDTH)
+        wrong.append(abs(got - want))
+    assert max(wrong) < 0.3 and sum(wrong) / len(wrong) < 0.05
+    assert P.likeness(mark("one short text here"), mark("one short text there")) > 0.7
+
+
+def test_fingerprints_are_of_all_spans_and_nothing_else():
+    text = "the quick brown fox jumps over the lazy dog " * 9 + "end"
+    p = P.PrefixHash(text)
+    code = [ord(c) + 1 for c in text]
+    spans = {}
+    for base in P._BASES:  # the polynomial by Horner's rule, from the last code point down
+        for i in range(len(text) - P.WIDTH + 1):
+            h = 0
+            for c in reversed(code[i : i + P.WIDTH]):
+                h = (h * base + c) % (2**31 - 1)
+            spans[i] = spans.get(i, 0) << 31 | h
+    assert p.spans(P.WIDTH).tolist() == [spans[i] for i in range(len(spans))]
+    assert P.fingerprint(p).split(".")[0] == f"{len(text):x}"
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 9])
 def test_rows_match_brute_force(spark, partitions):
     rng = random.Random(partitions)
