@@ -288,7 +288,7 @@ class _Join:
             .filter(f"c + least(n - 1 - last, pn - 1 - plast) >= {need} and {_most(self.percent, 'c')} >= {need}")
         )
         each = self.scratch.keep(each.select("node", "n", "pnode", "pn"), "met")
-        self.often = self.scratch.keep(frequent(counted(each, ["pnode", "pn"]), ["pnode", "pn"], self.scratch.rows(each)), "often")
+        self.often = self.scratch.keep(frequent(counted(each, ["pnode", "pn"]), ["pnode", "pn"], self.scratch.rows(each)).coalesce(1), "often")
         sig = self.classes.select("node", "n", "sig")
         apart = F.expr("aggregate(zip_with(sig, psig, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)")
         both = spread_join(each.join(sig, ["node", "n"]), sig.toDF("pnode", "pn", "psig"), ["pnode", "pn"], "node", self.often)

@@ -6,8 +6,12 @@
 3. A logistic model with an L1 penalty over the rules keeps few of them.
 4. The rules left are compiled into one Spark column expression.
 
-Null and empty texts have statistics of zero and are scored like any other.
-Without labels of both classes every score is 1.
+Cases. Null and empty texts have statistics of zero and are scored like any
+other. Whole texts are read, however long. Repeated rows get the same score, and
+repeated texts are learned from once; ties of equal gain go to the first
+statistic and the least cut. Without labels of both classes every score is
+1. An empty table gives an empty table. Columns other than doc_id and text are
+not read.
 """
 
 from __future__ import annotations

@@ -94,6 +94,46 @@ def test_digest_index(spark):
     assert E.exact_dedup(frame.limit(0), again, "none").collect() == []
 
 
+def test_index_opened_again_under_other_settings(spark):
+    path = f"{shared_dir(spark)}/digests-again-{random.random()}"
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('text ', id) as text")
+    assert E.exact_dedup(docs, E.DigestIndex(spark, path, 16), "one").filter("kept").count() == 400
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        spark.sql(f"DROP TABLE {E.DigestIndex(spark, path).table}")  # as in a new session
+        again = E.DigestIndex(spark, path)
+        assert again.buckets == 16 and again.ingest(docs.select(E.digest(F.col("text")).alias("digest"), "doc_id"), "two").count() == 0
+        assert again.read().count() == 400
+        with pytest.raises(ValueError, match="16 buckets"):
+            E.DigestIndex(spark, path, 8)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    one, other = (E.DigestIndex(spark, f"{path}{x}") for x in ("-1", "_1"))
+    one.ingest(docs.select(F.lit("d").alias("digest"), "doc_id"), "x")
+    assert one.read().count() == 1 and other.read().count() == 0 and one.table != other.table
+
+
+def test_scratch_is_refused_where_executors_do_not_share_it(monkeypatch):
+    class Somewhere:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master, applicationId = "spark://head:7077", "app-other"
+        getConf = staticmethod(Somewhere)
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("C", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))})
+
+    session = type("S", (), {"sparkContext": Context, "conf": Somewhere()})
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(session)
+    Context.master = "local[2]"
+    assert shared_dir(session).startswith("file:///")
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
