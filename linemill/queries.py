@@ -120,6 +120,51 @@ FROM (
 ) GROUP BY path"""
 
 
+def nested_lexer_sql(source: str, spec: Spec) -> str:
+    """As ``lexer_sql`` for nested comments: a fold over pieces (single signs of the tokens, and runs between them), with the state beside the counts.
+
+    m: 0 outside, 1 in a line comment, 100 + i in a block, 200 + i in a string. d: depth. k: pieces of a token still to be passed over. e: behind a backslash.
+    """
+    line, block = sorted(spec.line, key=len, reverse=True), sorted(spec.block, key=lambda p: -len(p[0]))
+    strings = sorted([(*q, False) for q in spec.quotes] + [(*q, True) for q in spec.multiline], key=lambda p: -len(p[0]))
+    tokens = [*line, *(t for p in block for t in p), *(t for a, b, _ in strings for t in (a, b))]
+    signs = "".join("\\" + c if not c.isalnum() else c for c in sorted(set("".join(tokens)))) + "\\\\\\n"
+    at = lambda t: f"starts_with(x.u, {_q(t)})"
+    size, events = {}, ["WHEN a.k > 0 THEN 0", "WHEN x.t = chr(10) THEN 1", "WHEN a.m = 1 THEN 2"]
+    for code, found in ((10, line), (20, [p[0] for p in block]), (30, [x[0] for x in strings])):
+        events += [f"WHEN a.m = 0 AND {at(t)} THEN {code + i}" for i, t in enumerate(found)]
+        size |= {code + i: len(t) for i, t in enumerate(found)}
+    events += ["WHEN a.m = 0 AND trim(x.t, ' ' || chr(9) || chr(13)) = '' THEN 2", "WHEN a.m = 0 THEN 3"]
+    for i, (_, end) in enumerate(block):
+        events += [f"WHEN a.m = {100 + i} AND {at(t)} THEN {40 + j}" for j, (t, _) in enumerate(block)] + [f"WHEN a.m = {100 + i} AND {at(end)} THEN {50 + i}"]
+        size |= {40 + i: len(block[i][0]), 50 + i: len(end)}
+    events += ["WHEN a.m BETWEEN 100 AND 199 THEN 60", "WHEN a.e THEN 70", "WHEN x.t = chr(92) THEN 71"]
+    for i, (_, end, _) in enumerate(strings):
+        events.append(f"WHEN a.m = {200 + i} AND {at(end)} THEN {80 + i}")
+        size[80 + i] = len(end)
+    short = " OR ".join(["a.m = 1", *(f"a.m = {200 + i}" for i, x in enumerate(strings) if not x[2])])
+    of = lambda pairs, other: "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + f" ELSE {other} END"
+    mode = of([("v = 1", f"CASE WHEN {short} THEN 0 ELSE a.m END"), ("v BETWEEN 10 AND 19", "1"), ("v BETWEEN 20 AND 29", "v + 80"), ("v BETWEEN 30 AND 39", "v + 170"), ("v BETWEEN 50 AND 59 AND a.d = 1", "0"), ("v BETWEEN 80 AND 89", "0")], "a.m")
+    state = {
+        "m": mode, "d": of([("v BETWEEN 20 AND 29", "1"), ("v BETWEEN 40 AND 49", "a.d + 1"), ("v BETWEEN 50 AND 59", "a.d - 1")], "a.d"),
+        "k": of([("v = 0", "a.k - 1"), *((f"v = {c}", n - 1) for c, n in size.items())], "0"), "e": of([("v = 71", "true"), ("v = 0", "a.e"), ("v = 1", f"a.e AND NOT ({short})")], "false"),
+        "has": of([("v = 1", "false"), ("v = 3 OR v BETWEEN 30 AND 39 OR v >= 70", "true")], "a.has"), "filled": of([("v = 1", "false"), ("v IN (0, 2)", "a.filled")], "true"),
+        "code": "a.code + CAST(v = 1 AND a.has AS BIGINT)", "comment": "a.comment + CAST(v = 1 AND a.filled AND NOT a.has AS BIGINT)", "blank": "a.blank + CAST(v = 1 AND NOT a.filled AS BIGINT)",
+    }
+    fold = f"list_transform([CASE {' '.join(events)} ELSE 73 END], lambda v: {{{', '.join(f'{n!r}: {x}' for n, x in state.items())}}})[1]"
+    begin = "{'m': 0, 'd': 0, 'k': 0, 'e': false, 'has': false, 'filled': false, 'code': 0::BIGINT, 'comment': 0::BIGINT, 'blank': 0::BIGINT}"
+    longest = max(map(len, tokens)) - 1
+    return f"""
+SELECT path, code + comment + blank AS total_lines, code AS code_lines, comment AS comment_lines, blank AS blank_lines FROM (
+  SELECT path, a.code + CAST(a.has AS BIGINT) AS code, a.comment + CAST(a.filled AND NOT a.has AS BIGINT) AS comment, a.blank AS blank FROM (
+    SELECT path, list_reduce(pieces, lambda a, x: {fold}, {begin}) AS a FROM (
+      SELECT path, list_transform(l, lambda t, i: {{'t': t, 'u': array_to_string(l[i:i + {longest}], '')}}) AS pieces
+      FROM (SELECT path, regexp_extract_all(text, {_q(f'[ \\t\\r]+|[{signs}]|[^ \\t\\r{signs}]+')}) AS l FROM ({source}))
+    )
+  )
+)"""
+
+
 _FILE_STATS = " UNION ALL ".join(
     f"SELECT f.path, '{key}' AS language, CAST(strlen(f.text) AS BIGINT) AS file_size, {', '.join(f'coalesce(s.{c}, 0) AS {c}' for c in ('total_lines', 'code_lines', 'comment_lines', 'blank_lines'))} "
     f"FROM (SELECT * FROM ({_CORPUS}) WHERE path LIKE '%.{ext}') f LEFT JOIN ({lexer_sql(f'SELECT * FROM ({_CORPUS}) WHERE path LIKE {_q("%." + ext)}', REGISTRY.specs[key])}) s USING (path)"
@@ -154,7 +199,10 @@ def _lexed(spark, sf: str, key: str) -> DataFrame:
 
 def _lexed_sql(key: str) -> str:
     docs = f"SELECT CAST(doc_id AS VARCHAR) AS path, {_put_sql('text')} AS text FROM documents"
-    return f"SELECT d.path, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('total_lines', 'code_lines', 'comment_lines', 'blank_lines'))} FROM ({docs}) d LEFT JOIN ({lexer_sql(docs, REGISTRY.specs[key])}) s USING (path)"
+    spec = REGISTRY.specs[key]
+    if spec.nested:
+        return nested_lexer_sql(docs, spec)
+    return f"SELECT d.path, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('total_lines', 'code_lines', 'comment_lines', 'blank_lines'))} FROM ({docs}) d LEFT JOIN ({lexer_sql(docs, spec)}) s USING (path)"
 
 
 def detected(spark, sf: str) -> DataFrame:
@@ -406,6 +454,7 @@ SQL = {
     "tree_files": _TREE_FILES,
     "tree_languages": _TREE_TOTALS,
     "line_total": f"SELECT doc_id, CAST(length(t) - length(replace(t, chr(10), '')) + CAST(regexp_matches(t, '[^ \\t\\r\\n][^\\n]*\\z') AS INT) AS BIGINT) AS lines FROM (SELECT doc_id, {_put_sql('text')} AS t FROM documents)",
+    "lex_nested_comment": _lexed_sql("Rust"),
     **{name: _lexed_sql(key) for name, key in _LEXED.items()},
     "file_stats": _FILE_STATS,
     "language_stats": f"SELECT {', '.join(_SHOWN)} FROM ({_LANGUAGE_STATS})",
