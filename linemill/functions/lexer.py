@@ -21,7 +21,7 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -139,8 +139,7 @@ _STRUCT = f"struct<{LINES.replace(' long', ': bigint')}>"
 _KIND = pa.struct([(n.split()[0], pa.int64()) for n in LINES.split(", ")])
 
 
-# Marks inside a text that is being counted: of a comment's begin; its end, and a string's begin; a string's end; a comment's piece; a code piece.
-_MARKS = "\x01\x02\x03\x04\x05"
+# Marks inside a text that is being counted: 1 before a comment, 2 behind it and before a string, 3 behind that; 4 for a comment's piece, 5 for a piece of code.
 
 
 def _quoted(token: str) -> str:
@@ -158,36 +157,37 @@ def _string(start: str, end: str, many: bool) -> str:
     return f"{s}(?:{other}|\\\\[^\\n])*+\\\\?+(?:{e})?+"
 
 
-def marking(spec: Spec) -> str | None:
-    """The expression whose first group is a comment and whose second is a string; None without tokens."""
+def marking(spec: Spec) -> str:
+    """The expression that takes all but white space: its first group is a comment, its second a string."""
     longest = lambda pairs: sorted(pairs, key=lambda p: -len(p[0].encode()))
     comments = [f"{_quoted(t)}[^\\n]*+" for t, _ in longest([(t, "") for t in spec.line if t])]
     comments += [f"{_quoted(a)}[\\s\\S]*?(?:{_quoted(b) or '(?!)'}|\\z)" for a, b in longest([x for x in spec.block if x[0]])]
     strings = [_string(a, b, many) for a, b, many in longest([(*q, False) for q in spec.quotes if q[0]] + [(*q, True) for q in spec.multiline if q[0]])]
-    starts = {t.encode()[0] for t in (*spec.line, *(a for a, _ in (*spec.block, *spec.quotes, *spec.multiline))) if t}
-    if not starts:
-        return None
-    first = "".join(f"\\x{b:02x}" for b in sorted(starts))
-    return f"(?=[{first}])(?:({'|'.join(comments) or '(?!)'})|({'|'.join(strings) or '(?!)'}))"
+    first = "".join(f"\\x{b:02x}" for b in sorted({t.encode()[0] for t in (*spec.line, *(a for a, _ in (*spec.block, *spec.quotes, *spec.multiline))) if t}))
+    plain = f"[^{first}\\n \\t\\r]++" + (f"|[{first}]" if first else "")
+    return f"({'|'.join(comments) or '(?!)'})|({'|'.join(strings) or '(?!)'})|{plain}"
 
 
 def lines_by_expressions(content: Column, language: Column, specs: dict[str, Spec]) -> Column:
     """The struct ``LINES`` of each content by built-in expressions; for languages without nested comments."""
-    text = F.translate(F.decode(F.coalesce(content, F.lit("").cast("binary")), "ISO-8859-1"), _MARKS, "\x06" * 5)
-    by_marking: dict[str | None, list[str]] = {}
+    text = F.decode(F.coalesce(content, F.lit("").cast("binary")), "ISO-8859-1")
+    text = F.regexp_replace(text, F.lit(r"[\x01-\x05]"), F.lit("\x06"))
+    by_marking: dict[str, list[str]] = {}
     for key, spec in specs.items():
         if not spec.nested:
             by_marking.setdefault(marking(spec), []).append(key)
-    marked = None
-    for pattern, keys in by_marking.items():
-        shown = text if pattern is None else F.regexp_replace(text, F.lit(pattern), F.lit("\x01$1\x02$2\x03"))
-        marked = F.when(language.isin(keys), shown) if marked is None else marked.when(language.isin(keys), shown)
-    if marked is None:
+    if not by_marking:
         return F.lit(None).cast(_STRUCT)
-    # Inside comments, then inside strings, each piece of a line becomes one mark; \\G goes on where the last piece ended.
-    pieces = F.regexp_replace(marked, F.lit(r"(?:\x01|\G(?!\A))(\n*+)[^\n\x02]++"), F.lit("$1\x04"))
+    # All languages in one text that is parsed at once: x holds the text and the language.
+    literal = lambda t: "'" + "".join(c if c.isalnum() else f"\\u{ord(c):04x}" for c in t) + "'"
+    cases = " ".join(f"WHEN x.language IN ({', '.join(map(literal, keys))}) THEN regexp_replace(x.text, {literal(pattern)}, '\\u0001$1\\u0002$2\\u0003')" for pattern, keys in by_marking.items())
+    both = F.array(F.struct(text.alias("text"), language.alias("language")))
+    marked = F.get(F.call_function("transform", both, F.expr(f"x -> CASE {cases} END")), F.lit(0))
+    # What is neither comment nor string leaves the marks alone. Inside comments, then inside strings, each piece
+    # of a line becomes one mark; \\G goes on where the last piece ended.
+    pieces = F.replace(marked, F.lit("\x01\x02\x03"), F.lit("\x05"))
+    pieces = F.regexp_replace(pieces, F.lit(r"(?:\x01|\G(?!\A))(\n*+)[^\n\x02]++"), F.lit("$1\x04"))
     pieces = F.regexp_replace(pieces, F.lit(r"(?:\x02|\G(?!\A))(\n*+)[^\n\x03]++"), F.lit("$1\x05"))
-    pieces = F.regexp_replace(pieces, F.lit(r"[^\n \t\r\x01-\x05]++"), F.lit("\x05"))
     pieces = F.translate(pieces, " \t\r\x01\x02\x03", "")
 
     def counts(z: Column) -> Column:
@@ -202,6 +202,26 @@ def lines_by_expressions(content: Column, language: Column, specs: dict[str, Spe
     return F.when(pieces.isNotNull(), F.transform(F.array(pieces), counts)[0])
 
 
+def with_lines(files: DataFrame, specs: dict[str, Spec]) -> DataFrame:
+    """``files`` (content, language, ...) with ``LINES`` in l, and without content.
+
+    What the scanner's workers are handed beside a row is small: the expressions
+    run below them, and content goes on only where comments nest.
+    """
+    nested = sorted(k for k, x in specs.items() if x.nested)
+    rest = [c for c in files.columns if c != "content"]
+    flat = lines_by_expressions(F.col("content"), F.col("language"), specs)
+    if not nested:
+        return files.select(*rest, flat.alias("l"))
+    mine = F.col("language").isin(nested)
+    rows = files.select(*rest, flat.alias("_flat"), F.when(mine, F.col("content")).alias("_own"))
+    by_scanner = lines_by_scanner(F.col("_own"), F.when(mine, F.col("language")), specs)
+    parts = ("total", "code", "comments", "blanks")
+    # Several references to a costly column keep it from being moved up beside the scanner, where content would have to go with it.
+    rows = rows.select(*rest, *(F.col(f"_flat.{x}").alias(f"_{x}") for x in parts), by_scanner.alias("_nested"))
+    return rows.select(*rest, F.struct(*(F.when(mine, F.col(f"_nested.{x}")).otherwise(F.col(f"_{x}")).alias(x) for x in parts)).alias("l"))
+
+
 def lex(content: Column, language: Column, specs: dict[str, Spec]) -> Column:
     """The struct ``LINES`` of each content; zeros for null content, null for an unknown language."""
     flat = lines_by_expressions(content, language, specs)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linemill.functions.lexer import lex
+from linemill.functions.lexer import with_lines
 from linemill.operators.detect import detect
 from linemill.sources.registry import Registry
 
@@ -19,9 +19,9 @@ SORT_KEYS = {"files": "files", "file": "files", "lines": "lines", "total": "line
 def file_stats(files: DataFrame, registry: Registry | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """files: path, content (null: a file that counts without lines). A row a file of known language. keep: other columns of files that stay."""
     registry = registry or Registry()
-    rows = detect(files, registry).withColumn("l", lex(F.col("content"), F.col("language"), registry.specs))
     size = F.coalesce(F.length("content"), F.lit(0)).cast("long")
-    return rows.select(*keep, "path", "language", size.alias("file_size"), F.col("l.total").alias("total_lines"), F.col("l.code").alias("code_lines"), F.col("l.comments").alias("comment_lines"), F.col("l.blanks").alias("blank_lines"))
+    rows = with_lines(detect(files, registry).select(*keep, "path", "language", "content", size.alias("file_size")), registry.specs)
+    return rows.select(*keep, "path", "language", "file_size", F.col("l.total").alias("total_lines"), F.col("l.code").alias("code_lines"), F.col("l.comments").alias("comment_lines"), F.col("l.blanks").alias("blank_lines"))
 
 
 def per_file(files: DataFrame, function: Callable[[str, bytes | None], dict], schema: str) -> DataFrame:
@@ -43,8 +43,7 @@ def language_stats(stats: DataFrame, registry: Registry | None = None) -> DataFr
     sums = stats.groupBy("language").agg(
         F.count(F.lit(1)).alias("files"), *(F.sum(f"{c}").alias(m) for c, m in (("total_lines", "lines"), ("code_lines", "code"), ("comment_lines", "comments"), ("blank_lines", "blanks"), ("file_size", "bytes")))
     )
-    order = registry.frame(stats.sparkSession).select(F.col("key").alias("language"), "ordinal", "name")
-    return sums.join(F.broadcast(order), "language")
+    return sums.join(F.broadcast(registry.ordinals(stats.sparkSession)), "language")
 
 
 def ranked(languages: DataFrame, sort: str = "lines", top: int = 0) -> DataFrame:

@@ -54,16 +54,16 @@ def _pick_sql(column: str, values: list[str]) -> str:
     return f"([{', '.join(map(_q, values))}])[{column} % {len(values)} + 1]"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan whose files have fewer row groups than there are cores is dealt out; a larger one stays as it is read."""
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scan whose files have fewer row groups than there are cores is dealt out by its keys; a larger one stays as it is read."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores, *keys) if scan._jdf.rdd().getNumPartitions() < cores else scan
 
 
 def corpus(spark, sf: str) -> DataFrame:
     """path, content of documents, pages and conversations as one tree."""
     columns = {"documents": ("doc_id", "source", "text"), "pages": ("page_id", "html"), "conversations": ("conv_id", "turn", "text")}
-    read = lambda t: spread(spark.read.parquet(f"{sf}/{t}.parquet").select(*columns[t]))
+    read = lambda t: spread(spark.read.parquet(f"{sf}/{t}.parquet").select(*columns[t]), *columns[t][:2 if t == "conversations" else 1])
     docs = read("documents").select(F.concat_ws("/", "source", F.concat("doc_id", F.lit("."), _pick("doc_id", _EXTENSIONS))).alias("path"), _put(F.col("text")).alias("text"))
     pages = read("pages").select(F.concat(F.lit("pages/"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("text"))
     talks = read("conversations").select(F.concat("conv_id", F.lit("/"), "turn", F.lit(".md")).alias("path"), "text")
@@ -191,7 +191,7 @@ def _ranked_sql(sort: str, top: int = 0) -> str:
 
 
 def _lexed(spark, sf: str, key: str) -> DataFrame:
-    docs = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id")
     docs = docs.select(F.col("doc_id").cast("string").alias("path"), F.encode(_put(F.col("text")), "UTF-8").alias("content"))
     out = docs.select("path", lex(F.col("content"), F.lit(key), REGISTRY.specs).alias("l"))
     return out.select("path", F.col("l.total").alias("total_lines"), F.col("l.code").alias("code_lines"), F.col("l.comments").alias("comment_lines"), F.col("l.blanks").alias("blank_lines"))

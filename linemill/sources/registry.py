@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from linemill.functions.lexer import Spec
@@ -236,11 +237,22 @@ class Registry:
         token = "array<struct<start: string, end: string, multiline: boolean>>"
         return spark.createDataFrame(rows, f"ordinal short, key string, name string, nested boolean, comments {token}, strings {token}")
 
+    def ordinals(self, spark: SparkSession) -> DataFrame:
+        """(language, ordinal, name), in the plan itself."""
+        keys = [x.key for x in self.languages]
+        return spark.createDataFrame(pa.table({"language": pa.array(keys, pa.string()), "ordinal": pa.array(range(1, len(keys) + 1), pa.int16()), "name": pa.array([self.names[k] for k in keys], pa.string())}))
+
     def extensions(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(sorted(self.by_extension.items()), "ext_lower string, key string")
+        return self._lookup(spark, "ext_lower", self.by_extension)
 
     def filenames(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(sorted(self.by_filename.items()), "name_lower string, key string")
+        return self._lookup(spark, "name_lower", self.by_filename)
+
+    @staticmethod
+    def _lookup(spark: SparkSession, column: str, pairs: dict[str, str]) -> DataFrame:
+        """A table that lies in the plan itself, so that no job is needed to broadcast it."""
+        names, keys = zip(*sorted(pairs.items()), strict=True) if pairs else ((), ())
+        return spark.createDataFrame(pa.table({column: pa.array(names, pa.string()), "key": pa.array(keys, pa.string())}))
 
 
 _ASCII = {c: c + 32 for c in range(65, 91)}
