@@ -2,9 +2,13 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
+from linemill.llm import components
+from linemill.llm import ngram_join as J
 from linemill.llm.ngram_join import ngram_components
+from linemill.llm.scratch import Scratch
 
 SCHEMA = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,6 +73,84 @@ def test_dense_group_of_near_copies(spark, edits, size, narrow):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(docs, 4, 85))
 
 
+def test_candidates_of_a_dense_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """Edited copies of one text, most of which stay apart: rows that the joins make before a pair is checked."""
+    made = []
+
+    def told(name, on):
+        before = getattr(on, name)
+
+        def after(*args):
+            rows = args[1] if on is J._Join else None
+            out = before(*args)
+            made.append((rows if rows is not None else out).count())
+            return out
+
+        monkeypatch.setattr(on, name, after)
+
+    told("_candidates", J._Join)
+    told("pairs", J.D)
+    counts = []
+    for size in (200, 400, 800):
+        rng = random.Random(1)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows = []
+        for i in range(size):
+            words = list(base)
+            for _ in range(3):
+                words[rng.randrange(200)] = f"e{rng.randrange(10**9)}"
+            rows.append((i, " ".join(words)))
+        made.clear()
+        got = ngram_components(spark.createDataFrame(rows, SCHEMA), k=4, percent=85).collect()
+        if size == 200:
+            assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 4, 85))
+        counts.append(sum(made))
+    assert counts[2] < 2.5**2 * counts[0] and counts[2] < 60 * 800, counts  # two doublings; all pairs would be 18 times 319600
+
+
+def test_deviations_lose_no_link():
+    """Elements that deviations list for a partner, places and parities, against the sets themselves."""
+    rng = random.Random(3)
+    often = lambda x: (x % np.uint64(7)).astype(np.int64) + 2
+    percent, q = 85, 185
+    for _ in range(300):
+        centre = {rng.randrange(2**64) for _ in range(60)}
+        sets = [np.array(sorted((centre - set(rng.sample(sorted(centre), rng.randrange(12)))) | {rng.choice([rng.randrange(2**64), 5, 6, 7]) for _ in range(rng.randrange(6))}), np.uint64) for _ in range(2)]
+        c = np.array(sorted(centre), np.uint64)
+        (a, x), (b, y) = sorted(((J.D.deviation(s, c, percent, often), s) for s in sets), key=lambda p: p[0][0])
+        both = len(np.intersect1d(x, y))
+        linked = 100 * both >= percent * (len(x) + len(y) - both)
+        if a[0] + b[0] <= 0:
+            assert linked
+        elif linked:
+            lead = {int(e) for e, at in zip(a[3], a[4], strict=True) if at < a[2]}
+            assert lead & {int(e) for e in b[3]}
+            bits = [np.unpackbits(np.array(J.D.parities(s, c), np.int64).view(np.uint8)) for s in (x, y)]
+            assert q * int((bits[0] != bits[1]).sum()) <= (100 - percent) * (len(x) + len(y))
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    words = [rng.choice("abcdefghij") * rng.randrange(1, 9) for _ in range(400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-3], "x", "y", "z"])), (3, " ".join(words[::-1]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[2][1] == got[1][1] == 1 and got[3][1] == 3 and got[1][0] == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+
+
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_components_of_links(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    rng = random.Random(6)
+    edges = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(70)] + [(i, i + 1) for i in range(100, 140)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "links")).collect()
+    met = {x for a, b in edges if a != b for x in (a, b)}
+    assert sorted(tuple(r) for r in got) == sorted((x, root[x]) for x in met)
+
+
 def test_empty_table(spark):
     assert ngram_components(spark.createDataFrame([], SCHEMA)).collect() == []
     only = ngram_components(spark.createDataFrame([(3, None), (None, "")], SCHEMA)).collect()

@@ -73,3 +73,29 @@ def test_mixing_meets_its_entropy_beside_a_hot_source(spark):
     assert set(n) == {r[2] for r in rows} and all(n[s] >= k for s, k in Counter(r[2] for r in rows).items())
     total = sum(n.values())
     assert -sum(k / total * math.log(k / total) for k in n.values()) / math.log(len(n)) >= 0.949
+
+
+def test_stages_with_nulls_repeats_and_other_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, k int, th int, kept int, ids string, n int, s string, h int, block int, copies int, c int"
+    extra = ("r", 1, 2, 3, "i", 4, "s", 5, 6, 7, 8)
+    long = " ".join(f"w{i}" for i in range(60_000))
+    given = [(None, "no id here", "en", "a"), (None, None, None, None), (1, None, "en", "a"), (2, "", "en", None), (3, "one two", "en", "a"), (3, "one two", "en", "a"), (4, long, "en", "b"), (5, long, "en", "b"), (3, "other text", "en", "a")]
+    rows = [(*r, None if r[1] is None else len(r[1]), *extra) for r in given]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    shown = lambda d: sorted(((r.doc_id, (r.text or "")[:20], r.source) for r in d.collect()), key=str)
+    every = sorted(((i, (t or "")[:20], s) for i, t, _, s in given), key=str)
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name.startswith("BPE"):
+            assert out.count() == len(given) and out.filter("exact").count() == len(given) and out.filter("n_tokens = 0").count() == 3
+            continue
+        assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} == {extra}
+        if name == "toxicity":
+            assert shown(out) == every
+        elif name == "line dedup":
+            assert shown(out) == [x for x in every if x[0] != 5]  # all of it is in document 4
+        elif name.startswith("n-gram"):
+            assert shown(out) == sorted({x for x in every if x[0] != 5}, key=str)
+        else:
+            assert set(shown(out)) == set(every)
