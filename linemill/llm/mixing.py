@@ -36,6 +36,8 @@ from pyspark.sql.window import Window
 from linemill.llm.scratch import Scratch
 from linemill.llm.skew import counted, frequent
 
+#: Blocks of a source at most, so that ordering them is small work; the blocks of a source that would have more are larger.
+MOST_BLOCKS = 1 << 16
 #: Sources up to which one row each is broadcast.
 BROADCAST = 10_000
 _POINTS, _ROUNDS = 15, 7
@@ -117,7 +119,7 @@ def mix(
         "s",
         F.when(F.col("source_tokens") > 0, F.floor(passes)).otherwise(1).cast("int").alias("full"),
         F.when(F.col("source_tokens") > 0, F.floor((passes - F.floor(passes)) * F.col("source_tokens"))).otherwise(0).cast("long").alias("rest"),
-        F.ceil(F.greatest(F.col("source_tokens") / F.lit(block_tokens), F.col("source_rows") / F.lit(block_rows))).cast("long").alias("blocks"),
+        F.least(F.ceil(F.greatest(F.col("source_tokens") / F.lit(block_tokens), F.col("source_rows") / F.lit(block_rows))), F.lit(MOST_BLOCKS)).cast("long").alias("blocks"),
         F.pow(F.col("source_tokens") / F.lit(float(max(total, 1))), F.lit(power)).alias("raw"),
     )
     mass = plan.agg(F.sum(F.when(F.col("raw") > 0, F.col("raw")))).first()[0] or 1.0
