@@ -226,19 +226,19 @@ FROM (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages)"""
 
 
 def every_extension(spark, sf: str) -> DataFrame:
-    """Every extension and file name of the registry, behind every document's number, in its own and in other letters."""
+    """Every extension and file name of the registry in other letters, in turn behind the documents' numbers."""
     given = sorted(REGISTRY.by_extension) + sorted(REGISTRY.by_filename) + ["", "unknown"]
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").filter(F.col("doc_id") < len(given))  # one document an entry of the registry
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
     word = _pick("doc_id", given)
-    path = F.when(F.col("doc_id") < len(REGISTRY.by_extension), F.concat(F.lit("a.b/"), "doc_id", F.lit("."), F.initcap(word))).otherwise(F.concat(F.lit("d/"), F.upper(word)))
+    path = F.when(F.pmod("doc_id", F.lit(len(given))) < len(REGISTRY.by_extension), F.concat(F.lit("a.b/"), "doc_id", F.lit("."), F.initcap(word))).otherwise(F.concat(F.lit("d/"), F.upper(word)))
     return detect(docs.select("doc_id", path.alias("path")), REGISTRY, keep_unknown=True).select("doc_id", "path", F.coalesce("language", F.lit("Unknown")).alias("language"))
 
 
 def _every_extension_sql() -> str:
-    given = [(f"'a.b/' || {{i}} || '.' || {_q(e.capitalize())}", k) for e, k in sorted(REGISTRY.by_extension.items())]
-    given += [(_q(f"d/{e.upper()}"), k) for e, k in sorted(REGISTRY.by_filename.items())] + [("'d/'", "Unknown"), ("'d/UNKNOWN'", "Unknown")]
-    rows = ", ".join(f"({i}, {path.format(i=i)}, {_q(k)})" for i, (path, k) in enumerate(given))
-    return f"SELECT d.doc_id, path, language FROM documents d JOIN (VALUES {rows}) AS v(doc_id, path, language) USING (doc_id)"
+    given = [(f"a.b/%d.{e.capitalize()}", k) for e, k in sorted(REGISTRY.by_extension.items())]
+    given += [(f"d/{e.upper()}", k) for e, k in sorted(REGISTRY.by_filename.items())] + [("d/", "Unknown"), ("d/UNKNOWN", "Unknown")]
+    rows = ", ".join(f"({i}, {_q(path)}, {_q(k)})" for i, (path, k) in enumerate(given))
+    return f"SELECT doc_id, replace(shown, '%d', CAST(doc_id AS VARCHAR)) AS path, language FROM documents JOIN (VALUES {rows}) AS v(i, shown, language) ON doc_id % {len(given)} = i"
 
 
 def path_parts(spark, sf: str) -> DataFrame:
