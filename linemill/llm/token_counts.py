@@ -69,7 +69,9 @@ class TokenRollup:
         self.spark, self.root = spark, root.rstrip("/")
 
     def committed(self, batch: str) -> bool:
-        return exists(self.spark, f"{self.root}/{_folder(batch)}/_SUCCESS") or not self._names().filter(F.col("batch") == batch).isEmpty()
+        if exists(self.spark, f"{self.root}/{_folder(batch)}/_SUCCESS"):
+            return True
+        return self._fold() > 0 and not self._names().filter(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch; False if it is there already. What an earlier try left unfinished is replaced."""

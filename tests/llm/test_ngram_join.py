@@ -44,7 +44,7 @@ def near(rng, words, edits):
     return w
 
 
-@pytest.mark.parametrize(("k", "percent", "hot", "stars", "narrow"), [(4, 85, 1 << 16, 1, 32), (5, 80, 1 << 16, 3, 2), (4, 85, 3, 1, 1), (3, 70, 5, 1, 3), (4, 85, 7, 0, 4)])
+@pytest.mark.parametrize(("k", "percent", "hot", "stars", "narrow"), [(4, 85, 1 << 16, 1, 32), (5, 80, 1 << 16, 3, 2), (3, 70, 5, 1, 1), (4, 85, 7, 0, 4)])
 def test_components_match_brute_force(spark, k, percent, hot, stars, narrow):
     rng = random.Random(k * percent + hot)
     rows, base = [], [[rng.choice("abcdefghijklmnop") * rng.randrange(1, 5) for _ in range(rng.randrange(3, 120))] for _ in range(25)]
@@ -64,7 +64,7 @@ def test_components_match_brute_force(spark, k, percent, hot, stars, narrow):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(docs, k, percent)
 
 
-@pytest.mark.parametrize(("edits", "size", "narrow"), [([0, 1, 2, 3, 4], 150, 4), ([3], 200, 16), ([2, 3, 5, 8], 200, 8), ([1, 9, 10], 120, 2)])
+@pytest.mark.parametrize(("edits", "size", "narrow"), [([0, 1, 2, 3, 4], 150, 1), ([2, 3, 5, 8], 200, 2), ([1, 9, 10], 120, 1)])
 def test_dense_group_of_near_copies(spark, edits, size, narrow):
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
@@ -91,7 +91,7 @@ def test_candidates_of_a_dense_group_do_not_grow_with_its_square(spark, monkeypa
     told("_candidates", J._Join)
     told("pairs", J.D)
     counts = []
-    for size in (200, 400, 800):
+    for size in (200, 800):
         rng = random.Random(1)
         base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
         rows = []
@@ -105,7 +105,7 @@ def test_candidates_of_a_dense_group_do_not_grow_with_its_square(spark, monkeypa
         if size == 200:
             assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 4, 85))
         counts.append(sum(made))
-    assert counts[2] < 2.5**2 * counts[0] and counts[2] < 60 * 800, counts  # two doublings; all pairs would be 18 times 319600
+    assert counts[1] < 2.5**2 * counts[0] and counts[1] < 60 * 800, counts  # two doublings; all pairs would be 18 times 319600
 
 
 def test_deviations_lose_no_link():
