@@ -51,7 +51,7 @@ from linemill.llm.skew import counted, frequent, spread_join
 #: Bins of the suffix filter: how many shingles of a set fall into each range of hashes.
 BINS = 16
 #: Classes under a key of deviations up to which all pairs are compared, as a multiple of ``narrow``: most are told apart without their sets.
-KEYS = 8
+KEYS = 32
 #: Times that large groups are made narrower before all pairs under their keys are formed.
 LEVELS = 8
 _SIGNED = np.uint64(1 << 63)
