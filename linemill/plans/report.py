@@ -76,10 +76,10 @@ def _arguments() -> argparse.ArgumentParser:
 
 
 def _session(threads: str | None) -> SparkSession:
-    """The session that is there, or one under the master that spark-submit or the configuration names; a local one where none is named."""
+    """The session that is there, or one under the master that spark-submit or Spark's configuration names, or else a local one."""
     builder = SparkSession.builder.appName("linemill").config("spark.ui.enabled", "false")
-    named = SparkContext._active_spark_context is not None or os.environ.get("MASTER") or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "") or os.environ.get("SPARK_ENV_LOADED")
-    return (builder if named else builder.master(f"local[{threads or '*'}]")).getOrCreate()
+    submitted = SparkContext._active_spark_context is not None or "PYSPARK_GATEWAY_PORT" in os.environ
+    return (builder.master(f"local[{threads}]") if threads and not submitted else builder).getOrCreate()
 
 
 def main(argv: list[str] | None = None) -> int:
