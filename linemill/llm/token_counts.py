@@ -28,7 +28,7 @@ from urllib.parse import quote, unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linemill.llm.scratch import _path, exists, shared_dir
+from linemill.llm.scratch import Scratch, _path, exists, shared_dir
 
 KEYS = ["source", "lang", "tokenizer"]
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -136,23 +136,25 @@ class TokenRollup:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in under two tokenizers; one is replaced by its next version, document by document; empty texts are deleted; one language is deleted and comes in again; batches are repeated."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce("text", F.lit(""))
-    first, second, by_byte = pieces(text, PIECES_1), pieces(text, PIECES_2), F.octet_length(text).cast("long")
+    counts = docs.select("source", "lang", pieces(text, PIECES_1).alias("first"), pieces(text, PIECES_2).alias("second"), F.octet_length(text).cast("long").alias("by_byte"))
+    counts = Scratch(spark, "token_counts").keep(counts)  # texts are read once; the batches below are of counts
+    first, second, by_byte = F.col("first"), F.col("second"), F.col("by_byte")
     rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     path, fs = _path(spark, rollup.root)
     fs.deleteOnExit(path)
-    rollup.commit("1", inserted(docs, "pieces", first))
-    rollup.commit("2", inserted(docs, "bytes", by_byte))
-    changed = revised(docs, "pieces", first, second)
+    rollup.commit("1", inserted(counts, "pieces", first))
+    rollup.commit("2", inserted(counts, "bytes", by_byte))
+    changed = revised(counts, "pieces", first, second)
     rollup.commit("3", changed)
     rollup.commit("3", changed)
-    none = docs.filter(text == "")
+    none = counts.filter(by_byte == 0)
     rollup.commit("4", deleted(none, "pieces", second).unionByName(deleted(none, "bytes", by_byte)))
-    one = docs.filter(F.col("lang") == docs.agg(F.min("lang")).first()[0]).filter(text != "")
+    one = counts.filter(F.col("lang") == counts.agg(F.min("lang")).first()[0]).filter(by_byte > 0)
     rollup.commit("5", deleted(one, "pieces", second).unionByName(deleted(one, "bytes", by_byte)))
     rollup.commit("6", inserted(one, "pieces", second).unionByName(inserted(one, "bytes", by_byte)))
-    rollup.commit("1", inserted(docs, "pieces", first))
+    rollup.commit("1", inserted(counts, "pieces", first))
     return rollup.totals()
 
 
