@@ -38,7 +38,6 @@ An empty table gives an empty table. Other columns of any name stay inside
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -221,14 +220,15 @@ def removals(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
         F.transform(own, lambda x: F.xxhash64(F.rtrim(x, F.lit(_WHITE)))).alias("hashes"),
         F.transform(own, lambda x: F.regexp_count(x, F.lit(_WORD))).alias("words"),
     )
-    lines = scratch.keep(lines.dropDuplicates(["k", "th"]), "lines")
+    lines = scratch.keep(lines, "lines")  # rows that repeat an id and a text are dropped once little is left of them
     each = scratch.keep(lines.select("k", "th", F.explode(_keys(min_words)("hashes", "words")).alias("x")).select("k", "th", "x.h", "x.at"), "keys")
     holders = each.groupBy("h").agg(F.min(F.struct("k", "th", "at")).alias("f"), F.max(F.struct("k", "th")).alias("l"), F.count(F.lit(1)).alias("often"))
     often = frequent(holders, ["h"], scratch.rows(each), "often")
     holders = holders.filter("f.k != l.k or f.th != l.th").select("h", F.col("f.k").alias("fk"), F.col("f.th").alias("fth"), F.col("f.at").alias("at"), "often")
     pairs = spread_join(each.drop("at"), holders, ["h"], "th", often).filter("k != fk or th != fth")
-    met = pairs.groupBy("k", "th").agg(F.collect_list(F.struct("fk", "fth", "often", "at", "h")).alias("met"))  # a document's own keys at most
-    found = scratch.keep(lines.join(met, ["k", "th"]).select("k", "th", _kept(min_words)("hashes", "words", "met").alias("kept")), "kept")
+    met = pairs.groupBy("k", "th").agg(F.collect_set(F.struct("fk", "fth", "often", "at", "h")).alias("met"))  # a document's own keys at most
+    found = lines.join(met, ["k", "th"]).select("k", "th", _kept(min_words)("hashes", "words", "met").alias("kept"))
+    found = scratch.keep(found.dropDuplicates(["k", "th"]), "kept")
     scratch.drop(lines, each)
     return found
 
