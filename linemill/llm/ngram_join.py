@@ -342,17 +342,17 @@ class _Join:
             return rows.withColumn("comp", F.col("node"))
         return rows.drop("comp").join(self.roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
-    def _open(self, posts: DataFrame) -> DataFrame:
+    def _open(self, posts: DataFrame, turn: int = 0) -> DataFrame:
         """Postings of shingles that lie in two components, beside m, the postings of the shingle, and its pivot.
 
         The pivot is the class of which others hold most: of edited copies the one
-        least edited. It comes first in one order of all classes, so that a pair is
-        met in one direction.
+        least edited (of a later turn, another one, by a hash). It comes first in one
+        order of all classes, so that a pair is met in one direction.
         """
-        now = self._placed(posts).withColumn("w", F.expr(f"-held / {_prefix(self.percent, 'n')}"))
+        now = self._placed(posts).withColumn("w", F.expr("0D" if turn else f"-held / {_prefix(self.percent, 'n')}"))
         names = ("node", "n", "pos", "end", "held", "comp")
         stats = now.groupBy("shingle").agg(
-            F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("w", F.xxhash64("node").alias("h"), *names)).alias("p")
+            F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("w", F.xxhash64("node", F.lit(turn)).alias("h"), *names)).alias("p")
         )
         stats = stats.filter("lo != hi").select("shingle", "m", *(F.col(f"p.{x}").alias(f"p{x}") for x in names))
         return self.scratch.keep(spread_join(now, stats, ["shingle"], "node", frequent(stats, ["shingle"], self.scratch.rows(posts))), "open")
@@ -361,14 +361,14 @@ class _Join:
         self.links = self.roots = None
         posts = self.postings()
         rows = self._open(posts)
-        for _ in range(stars):
+        for turn in range(1, stars + 1):
             if not self.scratch.rows(rows):
                 break
             pairs = self._candidates(rows.filter(self._allowed()))
             sets = self.sets(_sides(pairs))
             self._linked(self.verified(pairs, sets, self.often))
             self.scratch.drop(pairs, sets, rows)
-            rows = self._open(posts)
+            rows = self._open(posts, turn if turn < stars else 0)
         if self.scratch.rows(rows):
             self._rest(rows)
         # Nodes to the smallest id of their component.
